@@ -289,7 +289,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, to
     if groups.where("copies > 1").isEmpty():
         return kept
     again = cut(table.groupBy(F.col("id").alias(id_col)).count().where("count > 1").select(id_col), "again")
-    one = kept.join(again, id_col, "left_semi").withColumn("_row", F.row_number().over(_by(id_col, text_col))).where("_row = 1")
+    one = kept.join(again, id_col, "left_semi").withColumn("__lectern_row", F.row_number().over(_by(id_col, text_col))).where("__lectern_row = 1")
     return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+from . import jaccard_join, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,8 +17,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -33,5 +38,21 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM g a JOIN g b ON
 SELECT x AS doc_id_a, y AS doc_id_b, CAST(both AS DOUBLE) / CAST(m.c + k.c - both AS DOUBLE) AS jaccard
 FROM p JOIN n m ON m.doc_id = x JOIN n k ON k.doc_id = y
 WHERE CAST(both AS DOUBLE) / CAST(m.c + k.c - both AS DOUBLE) >= 0.5
+""",
+    "op5_suffix_array_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), g AS (
+  SELECT doc_id, i - 1 AS pos, md5(array_to_string(ws[i : i + 49], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), m AS (
+  SELECT doc_id, pos, first_value(doc_id) OVER o AS f, first_value(pos) OVER o AS p
+  FROM g WINDOW o AS (PARTITION BY k ORDER BY doc_id, pos)
+), l AS (
+  SELECT *, CASE WHEN lag(pos) OVER d = pos - 1 AND lag(f) OVER d = f AND lag(p) OVER d = p - 1 THEN 0 ELSE 1 END AS fresh
+  FROM m WHERE doc_id <> f OR pos <> p WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM l)
+SELECT doc_id, CAST(min(pos) AS BIGINT) AS start_word, CAST(max(pos) + 50 AS BIGINT) AS end_word, min(f) AS first_doc_id, CAST(min(p) AS BIGINT) AS first_start_word
+FROM s GROUP BY doc_id, span
 """,
 }
