@@ -3,10 +3,20 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def share_code(spark: SparkSession) -> SparkSession:
+    """Puts the folder of this package on the Python workers' path; a cluster that has it installed needs nothing."""
+    root = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    return spark
+
+
 def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
     spark = (
