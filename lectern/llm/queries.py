@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, suffix_dedup
+from ..session import share_code
+from . import jaccard_join, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return share_code(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +28,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
 }
@@ -34,10 +41,10 @@ WITH w AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS gram
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) AS i FROM w WHERE len(ws) > 0)
 ), n AS (SELECT doc_id, count(*) AS c FROM g GROUP BY 1),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT x AS doc_id_a, y AS doc_id_b, CAST(both AS DOUBLE) / CAST(m.c + k.c - both AS DOUBLE) AS jaccard
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT x AS doc_id_a, y AS doc_id_b, CAST(shared AS DOUBLE) / CAST(m.c + k.c - shared AS DOUBLE) AS jaccard
 FROM p JOIN n m ON m.doc_id = x JOIN n k ON k.doc_id = y
-WHERE CAST(both AS DOUBLE) / CAST(m.c + k.c - both AS DOUBLE) >= 0.5
+WHERE CAST(shared AS DOUBLE) / CAST(m.c + k.c - shared AS DOUBLE) >= 0.5
 """,
     "op5_suffix_array_dedup": r"""
 WITH w AS (

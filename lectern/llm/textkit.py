@@ -91,13 +91,19 @@ def words(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple
     return s, np.flatnonzero(end) + 1, np.searchsorted(s, off).astype(np.int64)
 
 
+def byte_prefix(data: np.ndarray) -> np.ndarray:
+    """Running polynomial hash, from which ``slice_hashes`` takes any slice's."""
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=prefix[1:])
+    return prefix
+
+
+def slice_hashes(prefix: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return mix((prefix[e] - prefix[s]) * powers(len(prefix), True)[s])
+
+
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    n = len(data)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n), out=prefix[1:])
-    return mix((prefix[e] - prefix[s]) * powers(n, True)[s])
+    return slice_hashes(byte_prefix(data), s, e) if len(s) else np.zeros(0, np.uint64)
 
 
 def gram_hashes(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
