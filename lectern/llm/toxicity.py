@@ -168,17 +168,18 @@ def label_model(masks: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dic
 def _fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 400) -> np.ndarray:
     """Logistic regression on soft labels, classes weighted evenly; Nesterov's method, last weight the bias."""
     n, d = x.shape
+    y = y.astype(np.float32)
     w, v = np.zeros(d + 1, np.float32), np.zeros(d + 1, np.float32)
     pos = max(float(y.sum()), 1e-3)
     weight = np.where(y > 0.5, 0.5 / pos, 0.5 / max(n - pos, 1e-3)).astype(np.float32)
     scale = np.sqrt((x * x).sum(axis=1).max() + 1)
-    rate = 4 / scale**2 * 2
+    rate = np.float32(8 / scale**2)
     for i in range(steps):
-        look = w + (i / (i + 3)) * (w - v)
+        look = w + np.float32(i / (i + 3)) * (w - v)
         v = w
         p = 1 / (1 + np.exp(-np.clip(x @ look[:-1] + look[-1], -30, 30)))
         r = weight * (p - y)
-        g = np.append(x.T @ r, r.sum()) + l2 * look
+        g = np.append(r @ x, r.sum()) + np.float32(l2) * look
         w = (look - rate * g).astype(np.float32)
     return w
 
