@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import share_code
-from . import jaccard_join, suffix_dedup, toxicity
+from . import jaccard_join, quality, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,10 +27,15 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(_read(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_cascade(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -61,5 +66,29 @@ WITH w AS (
 ), s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM l)
 SELECT doc_id, CAST(min(pos) AS BIGINT) AS start_word, CAST(max(pos) + 50 AS BIGINT) AS end_word, min(f) AS first_doc_id, CAST(min(p) AS BIGINT) AS first_start_word
 FROM s GROUP BY doc_id, span
+""",
+    "op8_quality_rules": r"""
+WITH t AS (
+  SELECT doc_id, text, length(text) AS n,
+    list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l,
+    2 * length(text) - length(replace(text, ' ', '')) - length(replace(text, chr(10), '')) AS g
+  FROM documents
+)
+SELECT doc_id, coalesce(NOT (
+  trim(text) = ''
+  OR length(regexp_replace(text, '[^#*&%$|~^<>{}=+\\]+', '', 'g')) > 0.05 * n
+  OR n - length(replace(text, '!', '')) > 0.05 * n
+  OR length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) > 0.4 * n
+  OR length(regexp_replace(text, '[^0-9]+', '', 'g')) > 0.3 * n
+  OR n - length(replace(text, chr(65533), '')) > 0.01 * n
+  OR n - g NOT BETWEEN 1.5 * (g + 1) AND 25 * (g + 1)
+  OR len(string_split_regex(text, '(\.\.\.|…)\n')) - 1 > 0.3 * len(string_split(text, chr(10)))
+  OR len(string_split_regex(text, '\n[ \t]*[-*•]')) - 1 > 0.9 * len(string_split(text, chr(10)))
+  OR (len(l) >= 4 AND len(list_distinct(l)) < 0.5 * len(l))
+  OR (len(w) >= 20 AND len(list_distinct(w)) < 0.3 * len(w))
+  OR (len(w) >= 5 AND len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > 0.3 * len(w))
+), false) AS keep
+FROM t
 """,
 }
