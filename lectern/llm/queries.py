@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import share_code
-from . import jaccard_join, quality, suffix_dedup, toxicity
+from . import jaccard_join, licenses, quality, suffix_dedup, toxicity
+
+from .license_templates import TEMPLATES
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,11 +33,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_cascade(_read(spark, sf_dir, "documents"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op10_license_scans": op10_license_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -91,4 +98,21 @@ SELECT doc_id, coalesce(NOT (
 ), false) AS keep
 FROM t
 """,
+    "op10_license_scans": r"""
+WITH t(i, license, body) AS (VALUES @@TEMPLATES@@),
+s AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS body FROM documents
+  UNION ALL SELECT doc_id, unnest(string_split_regex(text, '\n\s*\n')) FROM documents
+  UNION ALL SELECT doc_id, text FROM documents
+), w AS (
+  SELECT row_number() OVER () AS k, doc_id, '' AS license, list_filter(string_split_regex(lower(body), '[^a-z0-9\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS v FROM s
+  UNION ALL SELECT -i, NULL, license, list_filter(string_split_regex(lower(body), '[^a-z0-9\x{80}-\x{10FFFF}]+'), lambda x: x <> '') FROM t
+), b AS (SELECT DISTINCT k, doc_id, license, v[i] || ' ' || v[i + 1] AS g FROM (SELECT *, unnest(range(1, len(v))) AS i FROM w)),
+n AS (SELECT k, count(*) AS c FROM b GROUP BY 1),
+d AS (
+  SELECT x.k, x.doc_id, y.license, 2 * count(*) / CAST(any_value(m.c) + any_value(o.c) AS DOUBLE) AS dice
+  FROM b x JOIN b y ON x.g = y.g AND x.k > 0 AND y.k < 0 JOIN n m ON m.k = x.k JOIN n o ON o.k = y.k GROUP BY x.k, x.doc_id, y.k, y.license
+), f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dice DESC, license) AS r FROM d)
+SELECT doc_id, license, max(dice) AS dice FROM f WHERE r = 1 AND dice >= 0.8 GROUP BY doc_id, license
+""".replace("@@TEMPLATES@@", ", ".join(f"({i}, '{n}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (n, t) in enumerate(TEMPLATES, 1))),
 }
