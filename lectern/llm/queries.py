@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import share_code
-from . import jaccard_join, licenses, quality, suffix_dedup, toxicity
+from . import jaccard_join, langid, licenses, quality, suffix_dedup, toxicity
 
 from .license_templates import TEMPLATES
 
@@ -25,6 +25,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(_read(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_language_id": op3_language_id,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_license_scans": op10_license_scans,
