@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import share_code
-from . import jaccard_join, langid, licenses, quality, suffix_dedup, toxicity
+from . import html_extract, jaccard_join, langid, licenses, mixing, packing, quality, suffix_dedup, toxicity
 
 from .license_templates import TEMPLATES
 
@@ -30,14 +30,26 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(_read(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_cascade(_read(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
@@ -46,8 +58,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
+    "op4_packing": op4_packing,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_html_extraction": op9_html_extraction,
     "op10_license_scans": op10_license_scans,
 }
 
@@ -121,4 +136,30 @@ d AS (
 ), f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dice DESC, license) AS r FROM d)
 SELECT doc_id, license, max(dice) AS dice FROM f WHERE r = 1 AND dice >= 0.8 GROUP BY doc_id, license
 """.replace("@@TEMPLATES@@", ", ".join(f"({i}, '{n}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (n, t) in enumerate(TEMPLATES, 1))),
+    "op6_mixing": r"""
+WITH base AS (
+  SELECT doc_id, 'd' || CAST(CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 4 AS VARCHAR) AS domain, lang, source,
+    CAST(len(list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens
+  FROM documents
+), leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS t, CAST(2 * sum(n_tokens) AS DOUBLE) AS cap FROM base GROUP BY ALL),
+dom AS (SELECT domain, sum(cap) AS cap, CASE domain WHEN 'd0' THEN 0.4::DOUBLE WHEN 'd1' THEN 0.3 WHEN 'd2' THEN 0.2 ELSE 0.1 END AS w FROM leaf GROUP BY 1),
+lng AS (SELECT domain, lang, sum(cap) AS cap, CASE lang WHEN 'en' THEN 0.5::DOUBLE WHEN 'de' THEN 0.2 WHEN 'fr' THEN 0.2 WHEN 'es' THEN 0.1 ELSE 1 END AS w FROM leaf GROUP BY 1, 2),
+b0 AS (SELECT least(sum(cap), sum(cap) / 2) AS b FROM leaf),
+d1 AS (SELECT dom.*, b, coalesce(sum(cap) OVER p, 0) AS filled, sum(w) OVER q AS open FROM dom, b0
+       WINDOW p AS (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (ORDER BY cap / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+d2 AS (SELECT *, (SELECT (b - filled) / open FROM d1 x WHERE (b - filled) / open <= cap / w ORDER BY cap / w, domain LIMIT 1) AS level FROM d1),
+qd AS (SELECT domain, least(cap, coalesce(level * w, cap)) AS b FROM d2),
+l1 AS (SELECT lng.*, qd.b, coalesce(sum(cap) OVER p, 0) AS filled, sum(w) OVER q AS open FROM lng JOIN qd USING (domain)
+       WINDOW p AS (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+l2 AS (SELECT domain, arg_min((b - filled) / open, (b - filled) / open) FILTER ((b - filled) / open <= cap / w) AS _, min_by((b - filled) / open, filled) FILTER ((b - filled) / open <= cap / w) AS level FROM l1 GROUP BY 1),
+ql AS (SELECT domain, lang, least(cap, coalesce(level * w, cap)) AS b FROM lng JOIN l2 USING (domain)),
+s1 AS (SELECT leaf.*, ql.b, coalesce(sum(cap) OVER p, 0) AS filled, count(*) OVER q AS open FROM leaf JOIN ql USING (domain, lang)
+       WINDOW p AS (PARTITION BY domain, lang ORDER BY cap, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY domain, lang ORDER BY cap, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+s2 AS (SELECT domain, lang, min_by((b - filled) / open, filled) FILTER ((b - filled) / open <= cap) AS level FROM s1 GROUP BY 1, 2),
+qs AS (SELECT domain, lang, source, t, CAST(floor(least(cap, coalesce(level, cap)) + 1e-6) AS BIGINT) AS quota FROM leaf JOIN s2 USING (domain, lang)),
+f AS (SELECT *, CASE WHEN t > 0 THEN quota // t ELSE 0 END AS full_epochs, CASE WHEN t > 0 THEN quota % t ELSE 0 END AS rest FROM qs),
+k AS (SELECT base.*, full_epochs, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || full_epochs || ':' || doc_id)) AS upto FROM base JOIN f USING (domain, lang, source)),
+c AS (SELECT *, full_epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS copies FROM k)
+SELECT doc_id, domain, lang, source, CAST(unnest(range(0, copies)) AS INTEGER) AS epoch, n_tokens FROM c
+""",
 }
