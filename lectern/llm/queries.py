@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import share_code
-from . import html_extract, jaccard_join, langid, licenses, mixing, packing, quality, suffix_dedup, toxicity
+from . import ann, html_extract, jaccard_join, langid, licenses, mixing, packing, quality, suffix_dedup, toxicity
 
 from .license_templates import TEMPLATES
 
@@ -42,6 +42,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_cascade(_read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_mixing": op6_mixing,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_quality_rules": op8_quality_rules,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scans": op10_license_scans,
