@@ -1,6 +1,570 @@
-"""Retrieval queries over the driver's tables and the SQL they are held against."""
+"""Retrieval queries over the driver's tables and the SQL they are held against.
+
+``documents`` stands for narrative chunks (source, lang and text for label,
+module and remarks), ``part`` for API chunks, ``benchmark`` for keyword queries
+and relevance, ``embeddings`` for stored vectors.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import FieldWeights
+from .functions import text as tx
+from .operators import bm25, chunking, context, evaluate, fusion, rewrite, smart, symbols, vector
+from .plans import hybrid
+from .schema import PARAMS
+from .session import share_code
+from .sources import crawl, pdf, registry
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+WORDS = r"list_filter(string_split_regex(lower({}), '\s+'), lambda x: x <> '')"
+
+#: common table expressions that the SQL of several queries starts with
+CHUNKS = r"""chunks AS (
+  SELECT doc_id, substr(md5(source || ':documents/' || doc_id || '::narrative:' || CASE WHEN text <> '' THEN ':' || substr(md5(text), 1, 8) ELSE '' END), 1, 16) AS chunk_id,
+    source AS source_label, lang AS source_module, source || '.' || lang AS collection, text AS remarks, substr('[REMARKS] ' || text, 1, 2000) AS embed_text,
+    regexp_matches(text, '[|#$]') AS contains_code
+  FROM documents WHERE text <> ''
+)"""
+ASKED = r"asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS query FROM benchmark)"
+TF = CHUNKS + r""", w AS (SELECT collection, chunk_id, """ + WORDS.format("embed_text") + r""" AS ws FROM chunks),
+tf AS (SELECT collection, chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT collection, chunk_id, len(ws) AS dl, unnest(ws) AS term FROM w) GROUP BY 1, 2, 3)"""
+IDF = TF + r""", size AS (SELECT collection, count(*) AS n, sum(len(ws)) / CAST(count(*) AS DOUBLE) AS avgdl FROM w GROUP BY 1),
+df AS (SELECT collection, term, count(*) AS df FROM tf GROUP BY 1, 2),
+raw AS (SELECT collection, term, df, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df JOIN size USING (collection)),
+idf AS (SELECT *, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY collection) ELSE raw END AS idf FROM raw)"""
+SCORED = IDF + ", " + ASKED + r""", qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(""" + WORDS.format("query") + r""") AS term FROM asked) GROUP BY 1, 2),
+scored AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM tf JOIN idf USING (collection, term) JOIN qt USING (term) GROUP BY 1, 2 HAVING sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) > 0),
+keyword AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 40)"""
+NEAR = r"""qv AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
+near0 AS (SELECT query_id, chunk_id, round(1 - list_sum(list_transform(range(1, 65), lambda i: (CAST(embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE)) ** 2)), 6) AS score FROM qv, embeddings JOIN chunks ON doc_id = vec_id),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near0 QUALIFY rank <= 40)"""
+FUSED = r"""parts AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (30 + rank) AS s FROM near UNION ALL SELECT query_id, chunk_id, 2.0::DOUBLE / (30 + rank) FROM keyword),
+fused AS (SELECT query_id, chunk_id, round(sum(s), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(s), 9) DESC, chunk_id) AS rank FROM parts GROUP BY 1, 2)"""
+HYBRID = "WITH " + SCORED + ", " + NEAR + ", " + FUSED
+RELEVANT = r"rel AS (SELECT item_id AS query_id, list(chunk_id ORDER BY chunk_id) AS relevant FROM benchmark b JOIN chunks c ON contains(c.remarks, b.text) GROUP BY 1)"
+RANKED = HYBRID + ", " + RELEVANT + r""", got AS (SELECT query_id, relevant, coalesce(list(chunk_id ORDER BY rank) FILTER (rank <= 10), []) AS r FROM rel LEFT JOIN fused USING (query_id) GROUP BY 1, 2)"""
+PARTS = r"""parts AS (
+  SELECT 'p' || p_partkey AS chunk_id, p_name AS symbol_id, p_type AS signature, p_brand AS source_module, 'parts.' || p_brand AS collection, '[SYMBOL] ' || p_name || chr(10) || '[SIGNATURE] ' || p_type AS embed_text FROM part
+)"""
+
+
+def query(name: str, sql: str | None = None):
+    def keep(fn: Query) -> Query:
+        QUERIES[name] = lambda spark, sf_dir: fn(share_code(spark), sf_dir)
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    strings = F.array().cast("array<string>")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.lit("narrative").alias("type"), *(none.alias(c) for c in ("symbol_id", "class_name", "function_name", "section_title", "signature")), F.array().cast(PARAMS).alias("params"), none.alias("return_desc"),
+        F.col("text").alias("remarks"), none.alias("example"), strings.alias("see_also"), strings.alias("references"), F.col("text").rlike("[|#$]").alias("contains_code"),
+        F.col("source").alias("source_label"), F.col("lang").alias("source_module"), F.concat(F.lit("documents/"), "doc_id").alias("file_path"),
+    )
+
+
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.build_chunks(document_elements(spark, sf_dir))
+
+
+def part_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    text = F.concat_ws("\n", F.concat(F.lit("[SYMBOL] "), "p_name"), F.concat(F.lit("[SIGNATURE] "), "p_type"))
+    return p.select(
+        F.concat(F.lit("p"), "p_partkey").alias("chunk_id"), F.when(F.col("p_size") % 3 == 0, "class").when(F.col("p_size") % 3 == 1, "function").otherwise("narrative").alias("type"), F.col("p_name").alias("symbol_id"), F.col("p_brand").alias("class_name"), F.lit(None).cast("string").alias("function_name"),
+        F.col("p_type").alias("signature"), F.lit("parts").alias("source_label"), F.col("p_brand").alias("source_module"), F.concat(F.lit("parts."), "p_brand").alias("collection"), F.lit("part").alias("source_file"), text.alias("embed_text"),
+    )
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = chunking.build_chunks(document_elements(spark, sf_dir)).select("chunk_id", F.element_at(F.split("source_file", "/"), 2).cast("long").alias("vec_id"))
+    return table(spark, sf_dir, "embeddings").join(ids, "vec_id").select("chunk_id", "embedding")
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").join(table(spark, sf_dir, "embeddings"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), "embedding")
+
+
+def keyword_hits(spark: SparkSession, sf_dir: str, k: int = 40) -> DataFrame:
+    scored = bm25.scores(bm25.build_index(document_chunks(spark, sf_dir)), asked(spark, sf_dir))
+    return bm25.top(scored.withColumn("score", F.round("score", 6)), k)
+
+
+def near_hits(spark: SparkSession, sf_dir: str, k: int = 40) -> DataFrame:
+    return vector.knn(chunk_vectors(spark, sf_dir), query_vectors(spark, sf_dir), k)
+
+
+def fused_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fusion.reciprocal_ranks(near_hits(spark, sf_dir), keyword_hits(spark, sf_dir))
+    return fusion.rerank_by_score(rows.withColumn("score", F.round("score", 9)).drop("rank"))
+
+
+def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that hold a benchmark passage verbatim: both sides meet on hashed 8-word runs, then the passage is looked for."""
+    # the outer transform binds the words once
+    runs = lambda c: F.flatten(F.transform(F.array(c), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 7)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 8), " ")))))
+    words = lambda c: F.split(F.trim(c), r"\s+")
+    b = table(spark, sf_dir, "benchmark").withColumn("inner", F.slice(words(F.col("text")), 2, 8)).select(F.col("item_id").alias("query_id"), "text", F.xxhash64(F.array_join("inner", " ")).alias("h"))
+    c = document_chunks(spark, sf_dir).select("chunk_id", "remarks", F.explode(F.array_distinct(runs(words(F.col("remarks"))))).alias("h"))
+    hits = b.join(c, "h").where(F.contains("remarks", "text"))
+    return hits.groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"))
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, near, fused = keyword_hits(spark, sf_dir), near_hits(spark, sf_dir), fused_hits(spark, sf_dir)
+    part = lambda s, d: d.select(F.lit(s).alias("stage"), "query_id", "chunk_id", "rank")
+    return part("bm25", key).unionByName(part("vector", near)).unionByName(part("rrf", fused)).unionByName(part("reranker", fused.where("rank > 5").withColumn("rank", F.col("rank") - 5))).unionByName(part("final", fused.where("rank <= 10")))
+
+
+# chunks
+
+
+@query("chunk_ids", "WITH " + CHUNKS + " SELECT doc_id, chunk_id, collection FROM chunks")
+def _(spark, sf_dir):
+    return document_chunks(spark, sf_dir).select(F.element_at(F.split("source_file", "/"), 2).cast("long").alias("doc_id"), "chunk_id", "collection")
+
+
+@query("embed_text", r"""SELECT 'p' || p_partkey AS id, '[SYMBOL] ' || p_name || chr(10) || '[CLASS] ' || p_brand || chr(10) || '[SIGNATURE] ' || p_type || chr(10) || '[PARAMS]' || chr(10) || '  - size (int): ' || p_size || chr(10) || '  - price: ' || chr(10) || '[REMARKS] ' || p_name || ' of ' || p_brand AS embed_text FROM part""")
+def _(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    params = F.array(F.struct(F.lit("size").alias("name"), F.lit("int").alias("type"), F.col("p_size").cast("string").alias("desc")), F.struct(F.lit("price").alias("name"), F.lit("").alias("type"), F.lit("").alias("desc")))
+    none = F.lit(None).cast("string")
+    rows = p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("symbol_id"), F.col("p_brand").alias("class_name"), none.alias("function_name"), F.lit("").alias("section_title"), F.col("p_type").alias("signature"), params.alias("params"), none.alias("return_desc"), F.concat_ws(" of ", "p_name", "p_brand").alias("remarks"), none.alias("example"))
+    return rows.select("id", chunking.embed_text().alias("embed_text"))
+
+
+@query("bm25_fields", "SELECT 'p' || p_partkey AS id, p_name || ' ' || p_brand AS symbol_name, p_type || ' int size price' AS signature, substr(p_name || ' of ' || p_brand, 1, 12) AS remarks, '' AS example FROM part")
+def _(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    params = F.array(F.struct(F.lit("size").alias("name"), F.lit("int").alias("type"), F.lit("").alias("desc")), F.struct(F.lit("price").alias("name"), F.lit("").alias("type"), F.lit("").alias("desc")))
+    rows = p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("symbol_id"), F.col("p_brand").alias("class_name"), F.lit("").alias("function_name"), F.col("p_type").alias("signature"), params.alias("params"), F.concat_ws(" of ", "p_name", "p_brand").alias("remarks"), F.lit(None).cast("string").alias("example"))
+    return rows.select("id", chunking.bm25_fields(12).alias("f")).select("id", "f.*")
+
+
+@query("metadata_roundtrip", "SELECT 'p' || p_partkey AS chunk_id, '' AS function_name, len(list_filter(string_split(p_name || ', ' || p_type, ','), lambda x: trim(x) <> ''))::INTEGER AS parts, p_name AS symbol_id FROM part")
+def _(spark, sf_dir):
+    rows = part_chunks(spark, sf_dir).withColumn("return_desc", F.lit(None).cast("string")).withColumn("contains_code", F.lit(False)).withColumn("references", F.array(F.concat_ws(", ", "symbol_id", "signature")))
+    return chunking.from_metadata(chunking.to_metadata(rows)).select("chunk_id", "function_name", F.size("references").alias("parts"), "symbol_id")
+
+
+# keyword search
+
+
+@query("tokenize_tf", "WITH " + TF + " SELECT chunk_id, term, CAST(tf AS BIGINT) AS tf, CAST(dl AS INTEGER) AS dl FROM tf")
+def _(spark, sf_dir):
+    return bm25.term_frequencies(bm25.fields_of(document_chunks(spark, sf_dir))).select("chunk_id", "term", "tf", "dl")
+
+
+@query("bm25_idf", "WITH " + IDF + " SELECT collection, term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
+def _(spark, sf_dir):
+    chunks = document_chunks(spark, sf_dir)
+    idf = bm25.inverse_frequencies(bm25.term_frequencies(bm25.fields_of(chunks)), chunks.groupBy("collection").agg(F.count("*").alias("n")))
+    return idf.select("collection", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("bm25_topk", "WITH " + SCORED + " SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM keyword WHERE rank <= 10")
+def _(spark, sf_dir):
+    return keyword_hits(spark, sf_dir, 10)
+
+
+@query("bm25_field_weighted", "WITH " + PARTS + r""",
+f AS (SELECT collection, chunk_id, 'symbol' AS field, 10.0::DOUBLE AS weight, """ + WORDS.format("symbol_id") + r""" AS ws FROM parts UNION ALL SELECT collection, chunk_id, 'signature', 5.0, """ + WORDS.format("signature") + r""" FROM parts UNION ALL SELECT collection, chunk_id, 'remarks', 1.0, """ + WORDS.format("embed_text") + r""" FROM parts),
+tf AS (SELECT collection, field, weight, chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT * EXCLUDE ws, len(ws) AS dl, unnest(ws) AS term FROM f) GROUP BY 1, 2, 3, 4, 5),
+size AS (SELECT collection, field, count(*) AS n, sum(len(ws)) / CAST(count(*) AS DOUBLE) AS avgdl FROM f GROUP BY 1, 2),
+raw AS (SELECT collection, field, term, n, avgdl, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN size USING (collection, field) GROUP BY 1, 2, 3, 4, 5),
+idf AS (SELECT *, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY collection, field) ELSE raw END AS idf FROM raw),
+q AS (SELECT n_nationkey AS query_id, unnest(""" + WORDS.format("(SELECT p_name || ' ' || p_type FROM part WHERE p_partkey = n_nationkey + 1)") + r""") AS term FROM nation),
+s AS (SELECT query_id, chunk_id, round(sum(weight * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN idf USING (collection, field, term) JOIN q USING (term) GROUP BY 1, 2)
+SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10""")
+def _(spark, sf_dir):
+    given = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("n_nationkey") + 1).select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("query"))
+    scored = bm25.scores(bm25.build_index(part_chunks(spark, sf_dir)), given)
+    return bm25.top(scored.withColumn("score", F.round("score", 6)).where("score > 0"), 10)
+
+
+# vectors, fusion
+
+
+@query("vector_topk", "WITH " + CHUNKS + ", " + NEAR + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 10")
+def _(spark, sf_dir):
+    return near_hits(spark, sf_dir, 10)
+
+
+@query("vector_cosine_topk", r"""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20)
+SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5""")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return vector.knn(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), 5, "cosine")
+
+
+@query("rrf_fusion", HYBRID + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM fused")
+def _(spark, sf_dir):
+    return fused_hits(spark, sf_dir)
+
+
+@query("hybrid_topk", HYBRID + r""", boosted AS (SELECT query_id, chunk_id, CASE WHEN contains_code AND regexp_matches(lower(query), 'example|how to|sample|code|create') THEN score * 1.2 ELSE score END AS score FROM fused JOIN chunks USING (chunk_id) JOIN asked USING (query_id))
+SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM boosted QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 10""")
+def _(spark, sf_dir):
+    index = hybrid.Index(document_chunks(spark, sf_dir), bm25.build_index(document_chunks(spark, sf_dir)).withColumn("impact", F.round("impact", 9)), chunk_vectors(spark, sf_dir))
+    found = hybrid.search(index, asked(spark, sf_dir), query_vectors=query_vectors(spark, sf_dir), skip_rerank=True)
+    return found.final.withColumn("score", F.round("score", 6))
+
+
+@query("dedup_max", HYBRID + " SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, round(score, 6) AS score FROM keyword UNION ALL SELECT query_id, chunk_id, score FROM near) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, chunk_id) <= 20")
+def _(spark, sf_dir):
+    both = keyword_hits(spark, sf_dir).select("query_id", "chunk_id", "score").unionByName(near_hits(spark, sf_dir).select("query_id", "chunk_id", "score"))
+    return fusion.best_of_variants(both, 20).select("query_id", "chunk_id", "score")
+
+
+@query("dedup_first", HYBRID + " SELECT query_id, chunk_id, min(rank)::INTEGER AS rank FROM (SELECT query_id, chunk_id, rank FROM keyword UNION ALL SELECT query_id, chunk_id, rank FROM near) GROUP BY 1, 2")
+def _(spark, sf_dir):
+    both = keyword_hits(spark, sf_dir).select("query_id", "chunk_id", "rank").unionByName(near_hits(spark, sf_dir).select("query_id", "chunk_id", "rank"))
+    return fusion.dedup(both, [F.col("rank")])
+
+
+# after fusion
+
+TYPED = HYBRID + ", typed AS (SELECT f.*, CASE WHEN contains_code THEN 'function' ELSE 'narrative' END AS type, contains_code, source_module FROM fused f JOIN chunks USING (chunk_id))"
+
+
+def typed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = document_chunks(spark, sf_dir).select("chunk_id", "contains_code", "source_module", F.when(F.col("contains_code"), "function").otherwise("narrative").alias("type"))
+    return fused_hits(spark, sf_dir).join(facts, "chunk_id")
+
+
+@query("rerank_candidates", TYPED + r""", slot AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY type = 'function' DESC, rank) AS slot FROM typed)
+SELECT query_id, chunk_id, type, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM slot WHERE slot <= 30""")
+def _(spark, sf_dir):
+    return fusion.rerank_candidates(typed_hits(spark, sf_dir)).select("query_id", "chunk_id", "type", "rank")
+
+
+@query("rerank_gap", HYBRID + r""", g AS (SELECT query_id, max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) AS gap FROM fused GROUP BY 1)
+SELECT query_id, round(gap, 6) AS gap, NOT (contains(query, '::') OR (NOT contains(trim(query), ' ') AND regexp_matches(trim(query, '()<>*&[]'), '^[A-Z]|_'))) AND NOT coalesce(gap > 0.03, false) AS rerank FROM asked JOIN g USING (query_id)""")
+def _(spark, sf_dir):
+    return fusion.rerank_decision(asked(spark, sf_dir), fused_hits(spark, sf_dir), 0.03).withColumn("gap", F.round("gap", 6))
+
+
+@query("rerank_scores", HYBRID + r""", s AS (SELECT query_id, chunk_id, list_distinct(""" + WORDS.format("query") + r""") AS q, """ + WORDS.format("substr(embed_text, 1, 512)") + r""" AS t FROM fused JOIN asked USING (query_id) JOIN chunks USING (chunk_id) WHERE rank <= 30)
+SELECT query_id, chunk_id, round(1 / (1 + exp(-(4 * (CAST(len(list_filter(q, lambda x: list_contains(t, x))) AS DOUBLE) / greatest(len(q), 1)) - 2))), 6) AS score FROM s""")
+def _(spark, sf_dir):
+    return fusion.rerank(fused_hits(spark, sf_dir).where("rank <= 30"), asked(spark, sf_dir), document_chunks(spark, sf_dir)).select("query_id", "chunk_id", "score")
+
+
+@query("code_boost", TYPED + r""", b AS (SELECT query_id, chunk_id, CASE WHEN contains_code AND contains(lower(query), 'th') THEN score * 1.2 ELSE score END AS score FROM typed JOIN asked USING (query_id))
+SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM b""")
+def _(spark, sf_dir):
+    return fusion.code_boost(typed_hits(spark, sf_dir), asked(spark, sf_dir), ["th"]).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("ref_expansion", PARTS.join(["WITH ", r""", rows AS (SELECT n_nationkey AS query_id, 'p' || (n_nationkey * 7 + i) AS chunk_id, 1.0::DOUBLE / i AS score, i AS rank FROM nation, range(1, 8) t(i)),
+target AS (SELECT symbol_id AS ref, min(collection || chr(1) || chunk_id) AS m FROM (SELECT symbol_id, collection, min(chunk_id) AS chunk_id FROM parts GROUP BY 1, 2) GROUP BY 1),
+refs AS (SELECT query_id, rank, score, p AS place, (SELECT p_name FROM part WHERE p_partkey = (CAST(substr(chunk_id, 2) AS BIGINT) * 3 + p * 11) % 200 + 1) AS ref FROM rows, range(0, 3) u(p) WHERE rank <= 5),
+fresh AS (SELECT r.*, string_split(m, chr(1))[2] AS target FROM refs r JOIN target USING (ref)),
+once AS (SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM rows r WHERE r.query_id = f.query_id AND r.chunk_id = f.target) QUALIFY row_number() OVER (PARTITION BY query_id, target ORDER BY rank, place) = 1),
+added AS (SELECT query_id, target AS chunk_id, score * 0.8 AS score, 7 + row_number() OVER (PARTITION BY query_id ORDER BY rank, place) AS rank FROM once QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, place) <= 5)
+SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, chunk_id, score, rank FROM rows UNION ALL SELECT query_id, chunk_id, score, rank FROM added)"""]))
+def _(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("rank")).select("query_id", F.concat(F.lit("p"), (F.col("query_id") * 7 + F.col("rank")).cast("string")).alias("chunk_id"), (F.lit(1.0) / F.col("rank")).alias("score"), "rank")
+    chunks = part_chunks(spark, sf_dir)
+    links = chunks.select("chunk_id", F.substring("chunk_id", 2, 20).cast("long").alias("key")).select("chunk_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (F.col("key") * 3 + i * 11) % 200 + 1)).alias("place", "p_partkey"))
+    links = links.join(p, "p_partkey").groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "p_name"))), lambda x: x["p_name"]).alias("references"))
+    return fusion.expand_references(rows, chunks.join(links, "chunk_id")).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("module_filter", TYPED + " SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank FROM typed WHERE source_module = 'en'")
+def _(spark, sf_dir):
+    return fusion.module_filter(fused_hits(spark, sf_dir), document_chunks(spark, sf_dir), "en").select("query_id", "chunk_id", "rank")
+
+
+@query("active_sources", "WITH " + CHUNKS + " SELECT chunk_id FROM chunks WHERE source_label IN ('src1', 'src3')")
+def _(spark, sf_dir):
+    return fusion.active_only(document_chunks(spark, sf_dir), spark.createDataFrame([("src1",), ("src3",)], "label string")).select("chunk_id")
+
+
+@query("result_rows", "WITH " + SCORED + " SELECT query_id, chunk_id, substr(remarks, 1, 500) AS remarks, round(round(score, 6), 4) AS score FROM keyword JOIN chunks USING (chunk_id) WHERE rank <= 3")
+def _(spark, sf_dir):
+    return keyword_hits(spark, sf_dir, 3).join(document_chunks(spark, sf_dir), "chunk_id").select("query_id", "chunk_id", F.substring("remarks", 1, 500).alias("remarks"), F.round("score", 4).alias("score"))
+
+
+# rewriting
+
+_SYN = ", ".join(f"({i * 2 + j}, '{w}', '{s}')" for i, (w, both) in enumerate(rewrite.SUBSTITUTES) for j, s in enumerate(both.split("|")))
+_ASK = "SELECT n_nationkey AS query_id, ['How to setup the axis and get ' || n_name, 'create a ' || n_name || ' render', 'Setup', 'Foo::get set', 'connect error ' || n_name || ' config run'][n_nationkey % 5 + 1] AS query FROM nation"
+
+
+def nation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    name = F.col("n_name")
+    forms = F.array(F.concat(F.lit("How to setup the axis and get "), name), F.concat(F.lit("create a "), name, F.lit(" render")), F.lit("Setup"), F.lit("Foo::get set"), F.concat(F.lit("connect error "), name, F.lit(" config run")))
+    return n.select(F.col("n_nationkey").alias("query_id"), F.element_at(forms, F.col("n_nationkey") % 5 + 1).alias("query"))
+
+
+@query("rewrite_expand", "WITH q AS (" + _ASK + f"), syn(i, word, sub) AS (VALUES {_SYN}), " + r"""v AS (SELECT query_id, query, i, replace(lower(query), word, sub) AS v FROM q, syn WHERE list_contains(""" + WORDS.format("query") + r""", word) AND NOT contains(query, '::') AND len(""" + WORDS.format("query") + r""") <> 1),
+d AS (SELECT query_id, v, min(i) AS i FROM v WHERE v <> query GROUP BY 1, 2),
+r AS (SELECT query_id, v, row_number() OVER (PARTITION BY query_id ORDER BY i) AS nth FROM d)
+SELECT query_id, 0 AS nth, query FROM q UNION ALL SELECT query_id, CAST(nth AS INTEGER), v FROM r WHERE nth <= 3""")
+def _(spark, sf_dir):
+    return rewrite.variant_queries(nation_queries(spark, sf_dir))
+
+
+@query("symbol_predicate", r"""SELECT p_partkey AS id, contains(q, '::') OR (NOT contains(q, ' ') AND (regexp_matches(trim(q, '()<>*&[]'), '^[A-Z]') OR contains(trim(q, '()<>*&[]'), '_'))) AS is_symbol
+FROM (SELECT p_partkey, [p_name, p_brand, replace(p_type, ' ', '::'), '*' || lower(p_brand), '(' || replace(p_name, ' ', '_') || ')'][p_partkey % 5 + 1] AS q FROM part)""")
+def _(spark, sf_dir):
+    forms = F.array("p_name", "p_brand", F.replace("p_type", F.lit(" "), F.lit("::")), F.concat(F.lit("*"), F.lower("p_brand")), F.concat(F.lit("("), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(")")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tx.is_symbol_lookup(F.element_at(forms, (F.col("p_partkey") % 5 + 1).cast("int"))).alias("is_symbol"))
+
+
+@query("rewrite_replies", r"""SELECT CAST(i AS BIGINT) AS query_id, q AS query FROM (VALUES (1, 'fix it'), (1, 'mend it'), (2, 'setup axis now'), (2, 'initialize axis now'), (2, 'configure axis now'), (2, 'setup multi axis now'), (3, 'a b'), (3, 'c')) t(i, q)""")
+def _(spark, sf_dir):
+    given = spark.createDataFrame([(1, "fix it"), (2, "setup axis now"), (3, "a b")], "query_id long, query string")
+    replies = spark.createDataFrame([(1, '{"completed": "How do I fix it?", "sub_queries": [], "variants": ["mend it"]}'), (2, "no json"), (3, 'Sure: {"completed": "x", "sub_queries": ["c"], "variants": null} ok')], "query_id long, reply string")
+    return rewrite.apply_replies(given, replies)[1]
+
+
+@query("rewrite_search", HYBRID.split(", near0")[0].rsplit(", qv AS", 1)[0] + r""" SELECT query_id, chunk_id, round(score, 6) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) <= 20""")
+def _(spark, sf_dir):
+    postings = bm25.build_index(document_chunks(spark, sf_dir)).withColumn("impact", F.round("impact", 9))
+    found = rewrite.search_variants(postings, rewrite.variant_queries(asked(spark, sf_dir)).select("query_id", "query"), 60, FieldWeights())
+    return fusion.best_of_variants(found.select("query_id", "chunk_id", F.round("score", 6).alias("score")), 20).select("query_id", "chunk_id", "score")
+
+
+# symbols
+
+
+@query("symbol_index", "WITH " + PARTS + " SELECT symbol_id, chunk_id FROM parts QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY collection, chunk_id) = 1")
+def _(spark, sf_dir):
+    return symbols.symbol_index(part_chunks(spark, sf_dir)).select("symbol_id", "chunk_id")
+
+
+@query("symbol_lookup", "WITH " + PARTS + " SELECT symbol_id, chunk_id FROM parts WHERE symbol_id IN (SELECT p_name FROM part WHERE p_partkey % 10 = 0) QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY collection, chunk_id) = 1")
+def _(spark, sf_dir):
+    names = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_name").alias("symbol_id")).distinct()
+    return symbols.lookup(symbols.symbol_index(part_chunks(spark, sf_dir)), names).select("symbol_id", "chunk_id")
+
+
+@query("symbol_match", r"""WITH n AS (SELECT p_partkey AS id, p_partkey % 4 AS k, p_name FROM part WHERE p_partkey <= 100) SELECT DISTINCT CASE k WHEN 0 THEN p_name WHEN 1 THEN p_name || '<int, std<x>>' ELSE ' ' || p_name || ' ' END AS name, p_name AS symbol_id FROM n WHERE k < 3""")
+def _(spark, sf_dir):
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    names = table(spark, sf_dir, "part").where("p_partkey <= 100").select(F.when(k == 0, name).when(k == 1, F.concat(name, F.lit("<int, std<x>>"))).when(k == 2, F.concat(F.lit(" "), name, F.lit(" "))).otherwise(F.concat(F.lit("Other::"), name)).alias("name")).distinct()
+    return symbols.match_api(names, symbols.symbol_index(part_chunks(spark, sf_dir))).select("name", "symbol_id")
+
+
+@query("class_members", "SELECT 'p' || p_partkey AS chunk_id FROM part WHERE p_brand = 'Brand#11' AND p_size % 3 <> 2")
+def _(spark, sf_dir):
+    return symbols.class_members(part_chunks(spark, sf_dir), "Brand#11").select("chunk_id")
+
+
+@query("list_modules", "SELECT DISTINCT source AS source_label, lang AS source_module FROM documents")
+def _(spark, sf_dir):
+    return symbols.list_modules(document_chunks(spark, sf_dir))
+
+
+@query("index_status", "WITH " + CHUNKS + " SELECT source_label, count(*) AS chunks, count(DISTINCT collection) AS collections, CAST(0 AS BIGINT) AS symbols FROM chunks GROUP BY ROLLUP (source_label)")
+def _(spark, sf_dir):
+    return symbols.index_status(document_chunks(spark, sf_dir))
+
+
+# evaluation
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.per_query(fused_hits(spark, sf_dir).where("rank <= 10"), relevance(spark, sf_dir), [1, 5, 10])
+
+
+_HIT = "len(list_filter(r[1:{k}], lambda x: list_contains(relevant, x)))"
+_GAIN = "list_sum(list_transform(range(1, least(len(r), {k}) + 1), lambda i: CASE WHEN list_contains(relevant, r[i]) THEN 1 / log2(i + 1) ELSE 0.0 END))"
+_IDEAL = "list_sum(list_transform(range(1, " + _HIT + " + 1), lambda i: 1 / log2(i + 1)))"
+
+
+def _recall(k: int) -> str:
+    return f"CAST({_HIT.format(k=k)} AS DOUBLE) / len(relevant)"
+
+
+def _ndcg(k: int) -> str:
+    return f"coalesce(CASE WHEN {_HIT.format(k=k)} > 0 THEN {_GAIN.format(k=k)} / {_IDEAL.format(k=k)} END, 0.0)"
+
+
+_MRR = "coalesce(1.0 / list_min(list_filter(range(1, len(r) + 1), lambda i: list_contains(relevant, r[i]))), 0.0)"
+
+
+@query("recall_at_k", RANKED + f" SELECT query_id, {_recall(1)} AS recall_at_1, {_recall(5)} AS recall_at_5, {_recall(10)} AS recall_at_10 FROM got")
+def _(spark, sf_dir):
+    return _metrics(spark, sf_dir).select("query_id", "recall_at_1", "recall_at_5", "recall_at_10")
+
+
+@query("mrr", RANKED + f" SELECT query_id, CAST(round({_MRR}, 9) AS DOUBLE) AS mrr FROM got")
+def _(spark, sf_dir):
+    return _metrics(spark, sf_dir).select("query_id", F.round("mrr", 9).alias("mrr"))
+
+
+@query("ndcg_at_k", RANKED + f" SELECT query_id, CAST(round({_ndcg(5)}, 9) AS DOUBLE) AS ndcg_at_5, CAST(round({_ndcg(10)}, 9) AS DOUBLE) AS ndcg_at_10 FROM got")
+def _(spark, sf_dir):
+    return _metrics(spark, sf_dir).select("query_id", F.round("ndcg_at_5", 9).alias("ndcg_at_5"), F.round("ndcg_at_10", 9).alias("ndcg_at_10"))
+
+
+@query("evaluate_summary", RANKED + f" SELECT count(*) AS num_queries, count(*) FILTER ({_HIT.format(k=10)} = 0) AS num_zero_recall, round(avg({_MRR}), 6)::DOUBLE AS mrr, round(avg({_recall(10)}), 6)::DOUBLE AS recall_at_10, round(avg({_ndcg(10)}), 6)::DOUBLE AS ndcg_at_10 FROM got")
+def _(spark, sf_dir):
+    s = evaluate.summary(_metrics(spark, sf_dir), [1, 5, 10])
+    return s.select("num_queries", "num_zero_recall", *(F.round(c, 6).alias(c) for c in ("mrr", "recall_at_10", "ndcg_at_10")))
+
+
+_STAGES = RANKED.rsplit(", got AS", 1)[0] + r""", t AS (SELECT 'bm25' AS stage, query_id, chunk_id, rank FROM keyword UNION ALL SELECT 'vector', query_id, chunk_id, rank FROM near UNION ALL SELECT 'rrf', query_id, chunk_id, rank FROM fused
+  UNION ALL SELECT 'reranker', query_id, chunk_id, rank - 5 FROM fused WHERE rank > 5 UNION ALL SELECT 'final', query_id, chunk_id, rank FROM fused WHERE rank <= 10),
+got AS (SELECT stage, query_id, relevant, coalesce(list(chunk_id ORDER BY rank) FILTER (chunk_id IS NOT NULL), []) AS r FROM (SELECT * FROM rel, (VALUES ('bm25'), ('vector'), ('rrf'), ('reranker'), ('final')) s(stage)) LEFT JOIN t USING (stage, query_id) GROUP BY 1, 2, 3)"""
+
+
+@query("stage_metrics", _STAGES + f" SELECT stage, round(avg({_recall(5)}), 6)::DOUBLE AS recall_at_5, round(avg({_recall(10)}), 6)::DOUBLE AS recall_at_10, round(avg({_MRR}), 6)::DOUBLE AS mrr FROM got GROUP BY 1")
+def _(spark, sf_dir):
+    m = evaluate.stage_metrics(traces(spark, sf_dir), relevance(spark, sf_dir))
+    return m.select("stage", *(F.round(c, 6).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")))
+
+
+@query("bad_cases", _STAGES + f""", w AS (SELECT query_id, max({_recall(10)}) FILTER (stage = 'bm25') AS b, max({_recall(10)}) FILTER (stage = 'vector') AS v, max({_recall(10)}) FILTER (stage = 'rrf') AS f, max({_recall(10)}) FILTER (stage = 'reranker') AS k, max({_recall(10)}) FILTER (stage = 'final') AS e FROM got GROUP BY 1)
+SELECT query_id, 'knowledge_gap' AS category FROM w WHERE e = 0 AND b = 0 AND v = 0 UNION ALL SELECT query_id, 'ranking_failure' FROM w WHERE e = 0 AND (b > 0 OR v > 0) UNION ALL SELECT query_id, 'reranker_regression' FROM w WHERE e = 0 AND f > 0 AND k < f""")
+def _(spark, sf_dir):
+    return evaluate.bad_cases(traces(spark, sf_dir), relevance(spark, sf_dir))
+
+
+@query("percentile", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(evaluate.nearest_rank("value", 0.5).alias("p50"), evaluate.nearest_rank("value", 0.95).alias("p95"))
+
+
+# incremental indexing
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Files of now (documents not divisible by 7) and the state of before (not divisible by 5; some of another time, some of other content)."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("source_label"), F.concat(F.lit("d/"), "doc_id").alias("rel_path"), "doc_id", F.col("n_chars").alias("size"), F.encode("text", "utf-8").alias("content"))
+    files = d.where("doc_id % 7 <> 0").withColumn("mtime", F.col("doc_id"))
+    state = d.where("doc_id % 5 <> 0").select("source_label", "rel_path", F.when(F.col("doc_id") % 3 == 0, "old").otherwise(F.sha1("content")).alias("sha1"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(-1).cast("long").alias("mtime"), "size")
+    return files, state
+
+
+@query("state_diff", "SELECT doc_id, doc_id % 5 = 0 OR (doc_id % 2 <> 0 AND doc_id % 3 = 0) AS needs_index FROM documents WHERE doc_id % 7 <> 0")
+def _(spark, sf_dir):
+    files, state = _files(spark, sf_dir)
+    return crawl.changes(files, state).select("doc_id", "needs_index")
+
+
+@query("deleted_files", "SELECT source AS source_label, 'd/' || doc_id AS rel_path FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 = 0")
+def _(spark, sf_dir):
+    files, state = _files(spark, sf_dir)
+    return crawl.deleted(files, state).select("source_label", "rel_path")
+
+
+@query("next_state", "SELECT source AS source_label, 'd/' || doc_id AS rel_path, doc_id AS mtime FROM documents WHERE doc_id % 7 <> 0")
+def _(spark, sf_dir):
+    files, state = _files(spark, sf_dir)
+    return crawl.next_state(crawl.changes(files, state), state).select("source_label", "rel_path", "mtime")
+
+
+@query("module_and_type", r"SELECT page_id, coalesce(nullif(regexp_extract(p, '^([^/]*)/', 1), ''), 'root') AS module, CASE WHEN p LIKE '%.html' THEN 'html' WHEN p LIKE '%.H' THEN 'header' ELSE 'unknown' END AS file_type FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'core/x' || page_id || '.html' WHEN 1 THEN 'y.H' WHEN 2 THEN 'a/b/z.H' ELSE 'n.txt' END AS p FROM pages)")
+def _(spark, sf_dir):
+    k = F.col("page_id") % 4
+    path = F.when(k == 0, F.concat(F.lit("core\\x"), "page_id", F.lit(".html"))).when(k == 1, "y.H").when(k == 2, "a/b/z.H").otherwise("n.txt")
+    return table(spark, sf_dir, "pages").select("page_id", crawl.module_of(path).alias("module"), registry.file_type(path).alias("file_type"))
+
+
+@query("embed_cache_split", "SELECT doc_id, doc_id % 3 = 0 AS hit FROM documents WHERE doc_id % 3 = 0 OR text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0) UNION ALL SELECT doc_id, true FROM documents WHERE doc_id % 3 <> 0 AND text IN (SELECT text FROM documents WHERE doc_id % 3 = 0)")
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = d.where("doc_id % 3 = 0").select(F.sha2(F.concat_ws("|", "text", F.lit("m")), 256).alias("key"), F.array(F.lit(1.0)).alias("embedding")).dropDuplicates(["key"])
+    hits, misses = vector.split_cached(d, cache, "m")
+    return hits.select("doc_id", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", F.lit(False).alias("hit")))
+
+
+@query("upsert", "WITH " + CHUNKS + " SELECT chunk_id FROM chunks WHERE doc_id % 4 <> 1")
+def _(spark, sf_dir):
+    from .sources.store import upsert
+
+    chunks = document_chunks(spark, sf_dir).withColumn("k", F.element_at(F.split("source_file", "/"), 2).cast("long") % 4)
+    gone = chunks.where("k = 1").select("source_label", "source_file")
+    return upsert(chunks, chunks.where("k = 2"), gone).select("chunk_id")
+
+
+# text and parsing
+
+
+@query("type_names", r"SELECT p_partkey AS id, list_distinct(regexp_extract_all(t, '\b([A-Z]\w*(?:::[A-Z]\w*)*)\b', 1)).list_sort() AS names FROM (SELECT p_partkey, 'const ' || p_brand || '::' || n || ' & x, std::' || n || '<' || p_type || '>' AS t FROM part JOIN (SELECT n_nationkey, n_name AS n FROM nation) ON n_nationkey = p_partkey % 25)")
+def _(spark, sf_dir):
+    p, n = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    t = F.concat(F.lit("const "), "p_brand", F.lit("::"), "n_name", F.lit(" & x, std::"), "n_name", F.lit("<"), "p_type", F.lit(">"))
+    return p.join(n, F.col("n_nationkey") == F.col("p_partkey") % 25).select(F.col("p_partkey").alias("id"), F.array_sort(tx.type_names(t)).alias("names"))
+
+
+@query("strip_tags", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("text"))
+
+
+@query("token_estimate", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("page_sections", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS section_title FROM pages")
+def _(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("html").alias("content"), F.lit("html").alias("file_type"), F.lit("pages").alias("source_label"), F.lit("root").alias("source_module"), F.col("page_id").cast("string").alias("file_path"))
+    return registry.parse_files(pages).where("type = 'narrative'").select(F.col("file_path").cast("long").alias("page_id"), "section_title")
+
+
+@query("header_elements", r"""SELECT n_nationkey AS id, unnest(CASE WHEN n_nationkey % 2 = 0 THEN ['class|' || n_name, 'function|' || n_name || '::open'] ELSE ['macro|MAX_' || n_name, 'typedef|id_' || n_name] END) AS element FROM (SELECT n_nationkey, replace(n_name, ' ', '_') AS n_name FROM nation)""")
+def _(spark, sf_dir):
+    name = F.replace("n_name", F.lit(" "), F.lit("_"))
+    one = F.concat(F.lit("/** About "), name, F.lit(" */\nclass "), name, F.lit(" {\n  // opens\n  int open(const std::map<int, int>& m, int n);\n};\n"))
+    two = F.concat(F.lit("#define MAX_"), name, F.lit(" 10\ntypedef unsigned long id_"), name, F.lit(";\n"))
+    files = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, one).otherwise(two).alias("content"), F.lit("header").alias("file_type"), F.lit("n").alias("source_label"), F.lit("root").alias("source_module"), F.col("n_nationkey").cast("string").alias("file_path"))
+    return registry.parse_files(files).select(F.col("file_path").cast("int").alias("id"), F.concat_ws("|", "type", "symbol_id").alias("element"))
+
+
+@query("paragraph_groups")
+def _(spark, sf_dir):
+    group = F.pandas_udf(lambda s: s.map(lambda t: pdf.group_paragraphs([p for p in (t or "").split("\n") if p.strip()])), "array<string>")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(group("text")).alias("part", "text"))
+
+
+@query("context_budget")
+def _(spark, sf_dir):
+    chunks = document_chunks(spark, sf_dir)
+    return context.build_context(keyword_hits(spark, sf_dir, 10).join(chunks, "chunk_id"), asked(spark, sf_dir), 600)
+
+
+@query("code_symbols", r"""SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN [event_type] WHEN 1 THEN ['A::' || event_type, event_type] ELSE [] END AS names FROM events WHERE event_id < 2000""")
+def _(spark, sf_dir):
+    k, e = F.col("event_id") % 3, F.col("event_type")
+    flat = F.to_json(F.struct(F.struct(e.alias("symbol_name"), F.lit("x").alias("note")).alias("hit")))
+    marked = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.concat(F.lit("### A::"), e, F.lit(" (function)\nbody\n### "), e, F.lit(" (class)\n")).alias("text"))).alias("content")))
+    plain = F.to_json(F.struct(F.struct(e.alias("name")).alias("hit")))
+    return table(spark, sf_dir, "events").where("event_id < 2000").select(F.col("event_id").alias("id"), smart.symbol_names(smart.decode(F.when(k == 0, flat).when(k == 1, marked).otherwise(plain))).alias("names"))
+
+
+@query("smart_queries", r"""WITH m AS (SELECT n_nationkey AS query_id, (SELECT p_name FROM part WHERE p_partkey = n_nationkey + 1) AS a, n_name FROM nation) SELECT query_id, CASE WHEN query_id % 2 = 0 THEN a ELSE 'ask ' || n_name END AS query FROM m""")
+def _(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("n_nationkey") + 1)
+    usages = n.select(F.col("n_nationkey").alias("query_id"), F.to_json(F.struct(F.array(F.struct(F.when(F.col("n_nationkey") % 2 == 0, F.col("p_name")).otherwise("nothing::like_it").alias("symbol"))).alias("hits"))).alias("payload"))
+    matched, _ = smart.api_matches(usages, symbols.symbol_index(part_chunks(spark, sf_dir)))
+    return smart.doc_queries(n.select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("ask "), "n_name").alias("query")), matched).select("query_id", "query")

@@ -9,7 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def share_code(spark: SparkSession) -> SparkSession:
-    """Puts the folder of this package on the Python workers' path; a cluster that has it installed needs nothing."""
+    """Puts the folder of this package on the Python workers' path; a cluster that has it installed needs nothing.
+
+    Also turns off Spark 4.1's reuse of partitioning across unions: with adaptive
+    execution it zips partitions that were coalesced differently.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -6,10 +6,12 @@ never see half of it and a job that dies leaves the last version as it was.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, gone: DataFrame | None = None) -> DataFrame:
@@ -35,14 +37,15 @@ class Store:
         pointer = hadoop.Path(self._pointer(table))
         if not pointer.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(pointer):
             return None
-        version = self.spark.read.text(self._pointer(table)).first()[0]
-        return self.spark.read.parquet(f"{self.path}/{table}/{version}")
+        version, _, schema = self.spark.read.text(self._pointer(table)).first()[0].partition(" ")
+        # the schema keeps folder names such as 01 the strings they are
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{self.path}/{table}/{version}")
 
     def write(self, table: str, df: DataFrame, by: list[str] | None = None) -> None:
         version = uuid.uuid4().hex
         writer = (df.repartition(*by) if by else df).write
         (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{table}/{version}")
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(self._pointer(table))
+        self.spark.createDataFrame([(f"{version} {df.schema.json()}",)], "v string").coalesce(1).write.mode("overwrite").text(self._pointer(table))
 
     def remove_source(self, table: str, label: str) -> None:
         df = self.read(table)
