@@ -15,6 +15,9 @@ def share_code(spark: SparkSession) -> SparkSession:
     execution it zips partitions that were coalesced differently.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    # texts are long: batches of the default 10,000 rows cost each Python worker, and the JVM beside it, several times 30 MB
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
