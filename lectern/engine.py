@@ -108,10 +108,8 @@ class Engine:
 
     def index_status(self) -> dict:
         chunks = self.store.read("chunks")
-        if chunks is None:
-            return {"total_chunks": 0, "collections": 0, "symbols": 0, "per_source": {}}
-        rows = symbols.index_status(chunks).collect()
-        whole = next((r for r in rows if r["source_label"] is None), None)
+        rows = [] if chunks is None else symbols.index_status(chunks).collect()
+        whole = next((r for r in rows if r["source_label"] is None), {"chunks": 0, "collections": 0, "symbols": 0})
         return {"total_chunks": whole["chunks"], "collections": whole["collections"], "symbols": whole["symbols"], "per_source": {r["source_label"]: r["chunks"] for r in rows if r["source_label"] is not None}}
 
     # beyond the eleven

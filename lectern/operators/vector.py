@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,11 +67,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq") ->
 
 def hashing_embedder(dims: int = 64):
     """A deterministic stand-in for an embedding model: signed hashed words, scaled to length 1.  It is no neural model."""
-    import pandas as pd
     import xxhash
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<double>")
+    @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts.fillna(""):

@@ -442,8 +442,8 @@ def _(spark, sf_dir):
     return m.select("stage", *(F.round(c, 6).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")))
 
 
-@query("bad_cases", _STAGES + f""", w AS (SELECT query_id, max({_recall(10)}) FILTER (stage = 'bm25') AS b, max({_recall(10)}) FILTER (stage = 'vector') AS v, max({_recall(10)}) FILTER (stage = 'rrf') AS f, max({_recall(10)}) FILTER (stage = 'reranker') AS k, max({_recall(10)}) FILTER (stage = 'final') AS e FROM got GROUP BY 1)
-SELECT query_id, 'knowledge_gap' AS category FROM w WHERE e = 0 AND b = 0 AND v = 0 UNION ALL SELECT query_id, 'ranking_failure' FROM w WHERE e = 0 AND (b > 0 OR v > 0) UNION ALL SELECT query_id, 'reranker_regression' FROM w WHERE e = 0 AND f > 0 AND k < f""")
+@query("bad_cases", _STAGES + f""", wide AS (SELECT query_id, max({_recall(10)}) FILTER (stage = 'bm25') AS b, max({_recall(10)}) FILTER (stage = 'vector') AS v, max({_recall(10)}) FILTER (stage = 'rrf') AS f, max({_recall(10)}) FILTER (stage = 'reranker') AS k, max({_recall(10)}) FILTER (stage = 'final') AS e FROM got GROUP BY 1)
+SELECT query_id, 'knowledge_gap' AS category FROM wide WHERE e = 0 AND b = 0 AND v = 0 UNION ALL SELECT query_id, 'ranking_failure' FROM wide WHERE e = 0 AND (b > 0 OR v > 0) UNION ALL SELECT query_id, 'reranker_regression' FROM wide WHERE e = 0 AND f > 0 AND k < f""")
 def _(spark, sf_dir):
     return evaluate.bad_cases(traces(spark, sf_dir), relevance(spark, sf_dir))
 
