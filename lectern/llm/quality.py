@@ -34,7 +34,7 @@ RULES = {
     "ellipses": r"size(split(text, '(\\.\\.\\.|…)\\n')) - 1 > 0.3 * size(split(text, '\\n'))",
     "bullets": r"size(split(text, '\\n[ \\t]*[-*•]')) - 1 > 0.9 * size(split(text, '\\n'))",
     "repeated_lines": f"element_at(transform(array({LINES}), a -> size(a) >= 4 and size(array_distinct(a)) < 0.5 * size(a)), 1)",
-    "repeated_words": f"element_at(transform(array({WORDS}), a -> size(a) >= 20 and size(array_distinct(a)) < 0.3 * size(a)), 1)",
+    "repeated_words": f"element_at(transform(array({WORDS}), a -> size(a) >= 20 and size(array_distinct(a)) < 0.3 * least(size(a), 1000)), 1)",
     "adjacent_repeats": f"element_at(transform(array({WORDS}), a -> size(a) >= 5 and size(filter(transform(a, (x, i) -> if(i > 0, x = a[i - 1], false)), x -> x)) > 0.3 * size(a)), 1)",
 }
 
