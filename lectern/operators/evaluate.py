@@ -5,12 +5,46 @@ relevance: query_id, relevant (array of ids).  ranked: query_id, chunk_id, rank.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Passages of up to this many characters travel with the tasks as one automaton; more go through a join
+PASSAGE_CHARS = 4_000_000
+
 STAGES = ["bm25", "vector", "rrf", "reranker", "final"]
 
 
+def passages_in(chunks: DataFrame, passages: DataFrame) -> DataFrame:
+    """query_id, relevant: the chunks (chunk_id, remarks) that hold each passage (query_id, text) verbatim; passages that none holds are left out."""
+    some = passages.where("text <> ''").select("query_id", "text")
+    chars = some.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > PASSAGE_CHARS:
+        hits = some.join(chunks.select("chunk_id", "remarks"), F.contains("remarks", "text")).select("query_id", "chunk_id")
+    else:
+        asked: dict[str, list] = {}
+        for r in some.collect():
+            asked.setdefault(r["text"], []).append(r["query_id"])
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for text, ids in asked.items():
+                automaton.add_word(text, ids)
+            if asked:
+                automaton.make_automaton()
+            for frame in frames:
+                rows = [(q, c) for c, t in zip(frame["chunk_id"], frame["remarks"]) if asked and t for ids in (found for _, found in automaton.iter(t)) for q in ids]
+                yield pd.DataFrame(rows, columns=["query_id", "chunk_id"]).drop_duplicates()
+
+        kinds = f"query_id {passages.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}"
+        hits = chunks.select("chunk_id", "remarks").mapInPandas(run, kinds)
+    return hits.groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"))
+
+
 def ranked_lists(ranked: DataFrame) -> DataFrame:
     """query_id, retrieved: ids in the order of rank."""
     return ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved"))

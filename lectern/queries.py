@@ -122,14 +122,8 @@ def fused_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that hold a benchmark passage verbatim: both sides meet on hashed 8-word runs, then the passage is looked for."""
-    # the outer transform binds the words once
-    runs = lambda c: F.flatten(F.transform(F.array(c), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 7)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 8), " ")))))
-    words = lambda c: F.split(F.trim(c), r"\s+")
-    b = table(spark, sf_dir, "benchmark").withColumn("inner", F.slice(words(F.col("text")), 2, 8)).select(F.col("item_id").alias("query_id"), "text", F.xxhash64(F.array_join("inner", " ")).alias("h"))
-    c = document_chunks(spark, sf_dir).select("chunk_id", "remarks", F.explode(F.array_distinct(runs(words(F.col("remarks"))))).alias("h"))
-    hits = b.join(c, "h").where(F.contains("remarks", "text"))
-    return hits.groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"))
+    """Chunks that hold a benchmark passage."""
+    return evaluate.passages_in(document_chunks(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
