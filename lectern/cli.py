@@ -10,6 +10,10 @@ from .config import Config, load_config, save_config
 from .engine import Engine
 
 
+def number(p: argparse.ArgumentParser, flag: str, default: int) -> None:
+    p.add_argument(flag, type=int, default=default)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lectern")
     p.add_argument("--config", default="lectern.yaml")
@@ -27,15 +31,15 @@ def parser() -> argparse.ArgumentParser:
     for name in ("query", "context"):
         q = sub.add_parser(name)
         q.add_argument("text")
-        q.add_argument("--top-k", type=int, default=10)
+        number(q, "--top-k", 10)
         q.add_argument("--source")
         q.add_argument("--module")
         q.add_argument("--rewrite", action="store_true")
         if name == "context":
-            q.add_argument("--max-tokens", type=int, default=6000)
-    ev = sub.add_parser("eval")
-    ev.add_argument("queries")
-    ev.add_argument("--compare-rewrite", action="store_true")
+            number(q, "--max-tokens", 6000)
+    evaluation = sub.add_parser("eval")
+    evaluation.add_argument("queries")
+    evaluation.add_argument("--compare-rewrite", help="once without and once with rewriting", action="store_true")
     sub.add_parser("status")
     return p
 
@@ -65,7 +69,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         show(vars(totals) | {"seconds": round(time.perf_counter() - start, 1)})
         return int(bool(totals.errors))
     elif args.command == "query":
-        show(engine.search_docs(args.text, args.top_k, args.source, args.module, enable_rewrite=args.rewrite))
+        show(engine.search_docs(args.text, args.top_k, source_label=args.source, module=args.module, enable_rewrite=args.rewrite))
     elif args.command == "context":
         print(engine.build_context(args.text, args.max_tokens, args.top_k, source_label=args.source, module=args.module, enable_rewrite=args.rewrite))
     elif args.command == "eval":

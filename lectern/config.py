@@ -8,10 +8,10 @@ from pathlib import Path
 
 @dataclass(frozen=True)
 class FieldWeights:
-    symbol_name: float = 10.0
-    signature: float = 5.0
-    remarks: float = 1.0
     example: float = 0.5
+    remarks: float = 1.0
+    signature: float = 5.0
+    symbol_name: float = 10.0
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class Config:
     reranker_max_candidates: int = 30
     reranker_score_gap_threshold: float = 0.15
     code_boost_ratio: float = 1.2
-    code_boost_triggers: tuple = ("example", "how to", "sample", "code", "create")
+    code_boost_triggers: tuple = ("how to", *"setup implement write sample example create".split())
     ref_expansion_max: int = 5
     query_rewrite_max_variants: int = 3
     context_max_tokens: int = 6000

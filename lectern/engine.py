@@ -51,22 +51,23 @@ class Engine:
         row = None if index is None else index.where(F.col("symbol_id") == symbol_id).first()
         return row.asDict() if row and row["source_label"] in self.config.doc_sources else None
 
-    def search_docs(self, query: str, top_k: int = 10, source_label: str | None = None, module: str | None = None, **options) -> list[dict]:
-        return self._one(query, top_k=top_k, source_label=source_label, module=module, **options)
+    def search_docs(self, query: str, top_k=10, **options) -> list[dict]:
+        """``options``: source_label, module and what else hybrid.search takes."""
+        return self._one(query, top_k=top_k, **options)
 
     def get_api_class(self, class_name: str) -> list[dict]:
         hit = self.find_symbol(class_name)
         if hit and hit["type"] == "class":
             found = self._one(class_name, top_k=20, source_label=hit["source_label"], skip_rerank=True)
             return [r for r in found if r["class_name"] == class_name and r["type"] != "narrative"]
-        return self._one(f"class {class_name}", top_k=15, skip_rerank=True)[:10]
+        return self._one("class " + class_name, skip_rerank=True, top_k=15)[:10]
 
     def get_api_function(self, function_name: str, class_name: str | None = None) -> list[dict]:
         hit = (self.find_symbol(f"{class_name}::{function_name}") if class_name else None) or self.find_symbol(function_name)
         name = f"{class_name}::{function_name}" if class_name else function_name
         return self._one(hit["symbol_id"], top_k=5, source_label=hit["source_label"], skip_rerank=True) if hit else self._one(name, top_k=10, skip_rerank=True)
 
-    def list_modules(self, source_label: str | None = None) -> list[str]:
+    def list_modules(self, source_label=None) -> list[str]:
         chunks = self.store.read("chunks")
         return [] if chunks is None else sorted({r["source_module"] for r in symbols.list_modules(chunks, source_label).collect()})
 
@@ -74,7 +75,7 @@ class Engine:
         queries = self.spark.createDataFrame([(0, query)], "query_id long, query string")
         found = self.search_batch(queries, top_k=top_k, **options)
         if found is None:
-            return f'[RAG] No relevant documentation found for query: "{query}"'
+            return context.nothing_for(query)
         return context.build_context(hybrid.with_chunks(found.final, self.store.read("chunks")), queries, max_tokens).first()["context"]
 
     def add_doc_source(self, label: str, path: str) -> None:
@@ -118,11 +119,11 @@ class Engine:
         """``payload``: what code search returned for the query as JSON; None where there is no code search."""
         index = self.store.read("symbols")
         if payload is None or index is None:
-            return {"query": query, "degraded": True, "matched": [], "unmatched": [], "doc_results": self.search_docs(query, top_k)}
+            return dict(query=query, degraded=True, matched=[], unmatched=[], doc_results=self.search_docs(query, top_k))
         usages = self.spark.createDataFrame([(0, payload)], "query_id long, payload string")
         matched, missing = smart.api_matches(usages, index)
         names = [r["symbol_id"] for r in matched.orderBy("place").collect()]
-        return {"query": query, "degraded": False, "matched": names, "unmatched": [r["name"] for r in missing.collect()], "doc_results": self.search_docs(" ".join(names) or query, top_k)}
+        return dict(query=query, degraded=False, matched=names, unmatched=[r["name"] for r in missing.collect()], doc_results=self.search_docs(" ".join(names) or query, top_k))
 
     def evaluate(self, annotated: DataFrame, ks: list[int] | None = None, **options) -> dict:
         """annotated: query_id, query, relevant."""
@@ -141,7 +142,7 @@ class Engine:
             save_config(self.config, self.config_path)
 
 
-OPERATIONS = ["find_symbol", "search_docs", "get_api_class", "get_api_function", "list_modules", "build_context", "add_doc_source", "remove_doc_source", "list_doc_sources", "reindex", "index_status"]
+OPERATIONS = "find_symbol search_docs get_api_class get_api_function list_modules build_context add_doc_source remove_doc_source list_doc_sources reindex index_status".split()
 
 
 def call(engine: Engine, name: str, arguments: dict):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+TYPE = r"[A-Z]\w*"
 #: Unicode white space plus the four separators that Java's class leaves out
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -24,7 +25,7 @@ def strip_tags(text: Column) -> Column:
 
 def type_names(text: Column) -> Column:
     """Capitalised identifiers, qualified ones as a whole, in order and once each."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\b([A-Z]\w*(?:::[A-Z]\w*)*)\b"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?U)\b({TYPE}(?:::{TYPE})*)\b"), F.lit(1)))
 
 
 def is_symbol_lookup(query: Column) -> Column:

@@ -16,7 +16,7 @@ from ..config import FieldWeights
 from ..functions.text import contains_any, tokenize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-EXAMPLE_TRIGGERS = ["example", "code", "sample", "how to"]
+EXAMPLE_TRIGGERS = ["how to", *"example code sample".split()]
 
 
 def fields_of(chunks: DataFrame, full_fields: bool = False) -> DataFrame:

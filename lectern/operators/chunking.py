@@ -53,7 +53,7 @@ def collapse_ids(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk_id").agg(F.min_by(F.struct(*others), F.struct("embed_text", "source_file")).alias("c")).select("chunk_id", "c.*")
 
 
-STORED = ["chunk_id", "type", "symbol_id", "class_name", "function_name", "signature", "return_desc", "contains_code", "source_label", "source_module", "source_file"]
+STORED = "chunk_id type symbol_id class_name function_name signature return_desc contains_code source_label source_module source_file".split()
 
 
 def to_metadata(chunks: DataFrame) -> DataFrame:

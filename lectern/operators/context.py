@@ -14,31 +14,40 @@ from pyspark.sql import DataFrame
 _SCHEMA = "query_id {kind}, context string, chunks long"
 
 
+def nothing_for(query: str) -> str:
+    return f"No documentation was found for: {query}"
+
+
+def _code(text: str) -> str:
+    return "\n".join(("```cpp", text, "```"))
+
+
 def _entry(row, lead: str) -> str:
     text = lambda v: v if isinstance(v, str) else ""
     parts = [lead] if lead else []
     parts.append(f"\n### [{text(row.type).upper()}] {text(row.symbol_id) or '(narrative)'}")
     if text(row.signature):
-        parts.append(f"```cpp\n{row.signature}\n```")
+        parts.append(_code(row.signature))
     parts.append(f"*Source: {row.source_file} | Score: {row.score:.4f}*")
     if text(row.remarks):
         parts.append(row.remarks)
     if text(row.example):
-        parts.append(f"\n**Example:**\n```cpp\n{row.example}\n```")
+        parts += ["\n**Example:**", _code(row.example)]
     if row.see_also is not None and len(row.see_also):
-        parts.append(f"\n*See also: {', '.join(row.see_also)}*")
+        links = ", ".join(row.see_also)
+        parts.append(f"\n*See also: {links}*")
     return "\n".join(parts)
 
 
 def assemble(rows: pd.DataFrame, query: str, max_tokens: int = 6000) -> tuple[str, int]:
     """Entries by score, brought together by source and module in the order in which these first appear."""
     if rows.empty:
-        return f'[RAG] No relevant documentation found for query: "{query}"', 0
+        return nothing_for(query), 0
     rows = rows.sort_values(["score", "chunk_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
     source = rows["source_label"].fillna("").replace("", "unknown")
     module = rows["source_module"].fillna("").replace("", "root")
     rows = rows.assign(_source=source, _module=module, _s=pd.factorize(source)[0], _m=pd.factorize(source + "\0" + module)[0]).sort_values(["_s", "_m"], kind="stable")
-    out = [f'[RAG Context — Query: "{query}"]', "=" * 60]
+    out = [f'[Context — Query: "{query}"]', "=" * 60]
     left, count, last = max_tokens - len("\n".join(out)) // 4, 0, None
     for row in rows.itertuples():
         text = _entry(row, f"\n## Source: {row[rows.columns.get_loc('_source') + 1]}" if row[rows.columns.get_loc("_source") + 1] != last else "")

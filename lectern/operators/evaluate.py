@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Passages of up to this many characters travel with the tasks as one automaton; more go through a join
 PASSAGE_CHARS = 4_000_000
 
-STAGES = ["bm25", "vector", "rrf", "reranker", "final"]
+STAGES = "bm25 vector rrf reranker final".split()
 
 
 def passages_in(chunks: DataFrame, passages: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .symbols import match_api
 
-NAMED = ("symbol", "symbol_id", "symbol_name", "qualified_name")
-HINTS = frozenset((*NAMED, "kind", "type", "signature", "location", "file", "file_path", "path"))
+NAMED = tuple("symbol qualified_name symbol_id symbol_name".split())
+HINTS = frozenset((*NAMED, *"path file_path file location signature type kind".split()))
 
 
 def decode(content: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import bm25, fusion, rewrite, vector
+from ..operators.evaluate import STAGES
 
 
 @dataclass
@@ -33,7 +34,7 @@ class Found:
     def traces(self) -> DataFrame:
         """stage, query_id, chunk_id, rank of all stages."""
         out = None
-        for name in ("bm25", "vector", "rrf", "reranker", "final"):
+        for name in STAGES:
             part = getattr(self, name).select(F.lit(name).alias("stage"), "query_id", "chunk_id", "rank")
             out = part if out is None else out.unionByName(part)
         return out
@@ -49,7 +50,7 @@ def collections_of(chunks: DataFrame, label: str | None, strict: bool = False) -
     return found or None
 
 
-def search(index: Index, queries: DataFrame, config: Config = Config(), top_k: int | None = None, source_label: str | None = None, module: str | None = None, skip_rerank: bool = False, enable_rewrite: bool = False, query_vectors: DataFrame | None = None, replies: DataFrame | None = None, scorer=fusion.lexical_scorer) -> Found:
+def search(index: Index, queries: DataFrame, config: Config = Config(), top_k: int | None = None, module=None, source_label=None, skip_rerank=False, enable_rewrite=False, query_vectors: DataFrame | None = None, replies: DataFrame | None = None, scorer=fusion.lexical_scorer) -> Found:
     """queries: query_id, query.  ``query_vectors`` (query_id, embedding) go to the vector side; without them it finds nothing.
 
     ``enable_rewrite`` adds synonym variants to the keyword side, or what a model

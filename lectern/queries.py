@@ -218,7 +218,7 @@ def _(spark, sf_dir):
     return fused_hits(spark, sf_dir)
 
 
-@query("hybrid_topk", HYBRID + r""", boosted AS (SELECT query_id, chunk_id, CASE WHEN contains_code AND regexp_matches(lower(query), 'example|how to|sample|code|create') THEN score * 1.2 ELSE score END AS score FROM fused JOIN chunks USING (chunk_id) JOIN asked USING (query_id))
+@query("hybrid_topk", HYBRID + r""", boosted AS (SELECT query_id, chunk_id, CASE WHEN contains_code AND regexp_matches(lower(query), 'setup|implement|write|sample|example|create|how to') THEN score * 1.2 ELSE score END AS score FROM fused JOIN chunks USING (chunk_id) JOIN asked USING (query_id))
 SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM boosted QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 10""")
 def _(spark, sf_dir):
     index = hybrid.Index(document_chunks(spark, sf_dir), bm25.build_index(document_chunks(spark, sf_dir)).withColumn("impact", F.round("impact", 9)), chunk_vectors(spark, sf_dir))
@@ -503,7 +503,7 @@ def _(spark, sf_dir):
 # text and parsing
 
 
-@query("type_names", r"SELECT p_partkey AS id, list_distinct(regexp_extract_all(t, '\b([A-Z]\w*(?:::[A-Z]\w*)*)\b', 1)).list_sort() AS names FROM (SELECT p_partkey, 'const ' || p_brand || '::' || n || ' & x, std::' || n || '<' || p_type || '>' AS t FROM part JOIN (SELECT n_nationkey, n_name AS n FROM nation) ON n_nationkey = p_partkey % 25)")
+@query("type_names", r"SELECT p_partkey AS id, list_distinct(regexp_extract_all(t, '\b(' || w || '(?:::' || w || ')*)\b', 1)).list_sort() AS names FROM (SELECT p_partkey, 'const ' || p_brand || '::' || n || ' & x, std::' || n || '<' || p_type || '>' AS t, '[A-Z]\w*' AS w FROM part JOIN (SELECT n_nationkey, n_name AS n FROM nation) ON n_nationkey = p_partkey % 25)")
 def _(spark, sf_dir):
     p, n = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
     t = F.concat(F.lit("const "), "p_brand", F.lit("::"), "n_name", F.lit(" & x, std::"), "n_name", F.lit("<"), "p_type", F.lit(">"))

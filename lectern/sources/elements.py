@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-TYPE_NAME = re.compile(r"\b([A-Z]\w*(?:::[A-Z]\w*)*)\b")
+from ..functions.text import TYPE
+
+TYPE_NAME = re.compile(rf"\b({TYPE}(?:::{TYPE})*)\b")
 
 
 def element(kind: str, types_from: tuple[str, ...] = (), **given) -> dict:

@@ -72,7 +72,7 @@ def _register_known() -> None:
     from .pdf import parse_pdf
 
     register_parser("html", [".html", ".htm"])(parse_page)
-    register_parser("header", [".h", ".hpp", ".hxx"])(parse_header)
+    register_parser("header", ".hxx .hpp .h".split())(parse_header)
     register_parser("pdf", [".pdf"], binary=True)(parse_pdf)
 
 

@@ -6,7 +6,7 @@ from lectern.schema import ELEMENT, ELEMENT_NAMES
 
 
 def element(**given):
-    base = dict.fromkeys(ELEMENT_NAMES) | {"params": [], "see_also": [], "references": [], "contains_code": False, "type": "narrative", "source_label": "l", "source_module": "m", "file_path": "p"}
+    base = dict.fromkeys(ELEMENT_NAMES) | dict(params=[], references=[], see_also=[], contains_code=False, type="narrative", source_label="l", source_module="m", file_path="p")
     return tuple((base | given)[n] for n in ELEMENT_NAMES)
 
 

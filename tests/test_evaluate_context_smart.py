@@ -101,7 +101,8 @@ def test_matching(spark):
 
 def test_smart_queries(spark):
     index = spark.createDataFrame([("A::f", "1"), ("Vec", "3")], "symbol_id string, chunk_id string")
-    text = json.dumps({"content": [{"type": "text", "text": json.dumps({"hits": [{"symbol": "Vec<int>"}, {"symbol": "A::f"}, {"symbol": "B::x"}]})}]})
+    inner = json.dumps({"hits": [{"symbol": "Vec<int>"}, {"symbol": "A::f"}, {"symbol": "B::x"}]})
+    text = json.dumps(dict(content=[dict(type="text", text=inner)]))
     usages = spark.createDataFrame([(1, text), (2, "{}"), (3, None)], "query_id long, payload string")
     matched, missing = smart.api_matches(usages, index)
     q = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "query_id long, query string")

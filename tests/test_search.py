@@ -151,12 +151,12 @@ def test_hybrid_end_to_end(spark, chunks, ask):
     final = found.final.collect()
     assert max(r["rank"] for r in final) <= 3 and {r["query_id"] for r in final} >= {0, 1}
     assert min((r["rank"], r["chunk_id"]) for r in final if r["query_id"] == 1)[1] == "b"
-    assert {r["stage"] for r in found.traces().select("stage").distinct().collect()} == {"bm25", "vector", "rrf", "reranker", "final"}
+    assert {r["stage"] for r in found.traces().select("stage").distinct().collect()} == set("bm25 vector rrf reranker final".split())
     unknown = hybrid.search(index, qs, top_k=3, source_label="no such")  # falls back to all
     assert unknown.final.count() == hybrid.search(index, qs, top_k=3).final.count()
     with pytest.raises(ValueError):
         hybrid.collections_of(chunks, "no such", strict=True)
-    assert hybrid.search(index, qs, top_k=9, module="gui").final.join(chunks, "chunk_id").select("source_module").distinct().collect()[0][0] == "gui"
+    assert hybrid.search(index, qs, top_k=9, module="gui", query_vectors=qv).final.join(chunks, "chunk_id").select("source_module").distinct().collect()[0][0] == "gui"
 
 
 def test_cache_split(spark):

@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 from lectern.sources import crawl, headers, html_pages, pdf, registry
 from lectern.sources.queries import read_queries
 
-MEMBER = """<html><head><title>Lib: Shape Class Reference</title></head><body>
-<div class="memitem"><div class="memproto"><table><tr><td class="memname">double Shape::area</td><td>( int scale, Unit u ) const</td></tr></table></div>
-<div class="memdoc"><p>Computes the area. Returns the area in units. See below.</p><table class="params"><tr><td>scale</td><td>How large</td></tr></table>
-<dl class="section see"><dd><a href="x">Circle</a></dd></dl><pre>s.area(2);</pre></div></div></body></html>"""
+def box(name: str, inner: str, tag: str = "div") -> str:
+    return f'<{tag} class="{name}">{inner}</{tag}>'
+
+
+_PROTO = box("memproto", "<table><tr>" + box("memname", "double Shape::area", "td") + "<td>( int scale, Unit u ) const</td></tr></table>")
+_DOC = "<p>Computes the area. Returns the area in units. See below.</p>" + box("params", "<tr><td>scale</td><td>How large</td></tr>", "table") + box("section see", '<dd><a href="x">Circle</a></dd>', "dl") + "<pre>s.area(2);</pre>"
+MEMBER = "<title>Lib: Shape Class Reference</title>" + box("memitem", _PROTO + box("memdoc", _DOC))
 
 
 def test_member_pages():
@@ -17,9 +20,12 @@ def test_member_pages():
 
 
 def test_help_pages():
-    page = '<script src="chm-test.js"></script><div id="content"><h2>class Mill : Base</h2><table style="table-layout:fixed"><tr><td><table style="table-layout:fixed"><tr><td><h3>cut(int depth)</h3><p>Cuts.</p><p>Returns nothing.</p><table style="border:0"><tr><td>depth:</td><td>How deep</td></tr></table><a href="#">Tool</a></td></tr></table><table style="table-layout:fixed"><tr><td><h3>Inherited members</h3></td></tr></table><table style="table-layout:fixed"><tr><td><h3>enum Mode</h3></td></tr></table></td></tr></table></div>'
+    layout = lambda inner: f'<table style="table-layout:fixed"><tr><td>{inner}</td></tr></table>'
+    params = '<table style="border:0"><tr><td>depth:</td><td>How deep</td></tr></table>'
+    members = layout("<h3>cut(int depth)</h3><p>Cuts.</p><p>Returns nothing.</p>" + params + '<a href="#">Tool</a>') + layout("<h3>Inherited members</h3>") + layout("<h3>enum Mode</h3>")
+    page = '<script src="chm-test.js"></script><div id="content"><h2>class Mill : Base</h2>' + layout(members) + "</div>"
     cut, mode = html_pages.parse_page(page)
-    assert cut["symbol_id"] == "Mill::cut" and cut["remarks"] == "Cuts." and cut["return_desc"] == "nothing" and cut["params"][0] == {"name": "depth", "type": "", "desc": "How deep"} and cut["see_also"] == ["Tool"]
+    assert cut["symbol_id"] == "Mill::cut" and cut["remarks"] == "Cuts." and cut["return_desc"] == "nothing." and cut["params"][0] == {"name": "depth", "type": "", "desc": "How deep"} and cut["see_also"] == ["Tool"]
     assert mode["type"] == "enum" and mode["symbol_id"] == "Mill::Mode"
 
 
