@@ -119,7 +119,7 @@ def fit(docs: DataFrame, sample_rows: int = 4000, clusters: int = 4, quantile: f
         total, rows = np.zeros(DIMS, np.int64), 0
         for batch in batches:
             texts = tk.lower(tk.as_array(batch.column(0)))
-            for i, j in tk.slices(texts, SLICE):
+            for i, j in tk.slices(texts, SLICE, 512):
                 c, letters = counts(texts.slice(i, j - i))
                 total += (c > 0).sum(axis=0)
                 rows += int((letters > 0).sum())
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, sample_rows: int = 4000, clusters: int = 4, quantile: f
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = tk.lower(tk.as_array(batch.column(1)))
-            for i, j in tk.slices(texts, SLICE):
+            for i, j in tk.slices(texts, SLICE, 512):
                 x, letters = vectors(texts.slice(i, j - i), idf)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(letters), batch.column(2).slice(i, j - i), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["lang", "letters", "h", "x"])
 
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = tk.lower(tk.as_array(batch.column(1)))
-            for i, j in tk.slices(texts, SLICE):
+            for i, j in tk.slices(texts, SLICE, 512):
                 lang, cos, ok = model.predict(texts.slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(cos), pa.array(ok)], names=["doc_id", "language", "cosine", "accepted"])
 

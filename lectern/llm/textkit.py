@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 
 P = np.uint64(0x9E3779B97F4A7C15)
 P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+SLICE_ROWS = 4096
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -51,8 +52,8 @@ def as_array(col: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(col.cast(pa.large_string()), "")
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` bytes; a longer text is alone in its range."""
+def slices(texts: pa.Array, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows and about ``limit`` bytes; a longer text is alone in its range."""
     n = len(texts)
     if not n:
         return
@@ -60,7 +61,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
     start = 0
     while start < n:
         end = int(np.searchsorted(off, off[start] + limit, side="right")) - 1
-        end = min(n, max(start + 1, end))
+        end = min(n, start + rows, max(start + 1, end))
         yield start, end
         start = end
 
