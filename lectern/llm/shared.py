@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@lru_cache(maxsize=8)
+def _run_folder(root: str) -> str:
+    """One folder for all tables of this process; it goes when the process ends in order, if its session is still there."""
+    path = f"{root}/lectern-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext._jsc is not None:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    atexit.register(drop)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: an executor that is lost later costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_folder(shared_dir(df.sparkSession))}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
