@@ -301,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = tk.lower(tk.as_array(batch.column(0)))
-            for i, j in tk.slices(texts, 500_000):
+            for i, j in tk.slices(texts, 500_000, 1024):
                 v, hits, t = model.voters(texts.slice(i, j - i))
                 x = model.inputs(v, hits, t)[np.diff(t.first) > 0].astype(np.float16)
                 y = np.array([model.label["posterior"][int(k)] for k in (v @ (1 << np.arange(len(NAMES))))[np.diff(t.first) > 0]])
@@ -320,7 +320,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = tk.lower(tk.as_array(batch.column(1)))
-            for i, j in tk.slices(texts, 1_000_000):
+            for i, j in tk.slices(texts, 500_000, 1024):
                 post, p = model.score(texts.slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(post), pa.array(p), pa.array(p >= model.threshold)], names=["doc_id", "posterior", "score", "is_toxic"])
 
@@ -334,7 +334,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = tk.lower(tk.as_array(batch.column(at)))
-            for i, j in tk.slices(texts, 1_000_000):
+            for i, j in tk.slices(texts, 500_000, 1024):
                 _, p = model.score(texts.slice(i, j - i))
                 yield batch.slice(i, j - i).filter(pa.array(p < model.threshold))
 
