@@ -6,6 +6,15 @@ blank lines) and itself; a segment matches the template with the highest Dice
 coefficient of distinct bigrams (ties: the first licence by name), if that is
 at least ``threshold``.
 
+A licence may also be several paragraphs of a longer text, a notice wrapped
+over two lines, or one within a line of prose.  So every run of words is
+compared as well, from any bigram of a template to any other; of runs that
+overlap the one of the highest coefficient counts (ties: licence by name, then
+the first), and it is a match as a segment is.  A run of fewer bigrams than its
+template takes in the words up to the next line or sentence bounds, as far as
+the template's size, each as a bigram that the template lacks: ``SPDX
+licence identifier`` before some other name isn't most of ``... MIT``.
+
 Dice(a, b) >= t needs t/(2-t) <= |a|/|b| <= (2-t)/t, so a template is compared
 only with segments in those size bounds, and a segment only if t/(2-t) of its
 bigrams occur in any template; both bounds are exact.
@@ -17,6 +26,8 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -71,6 +82,81 @@ def _breaks(data: np.ndarray, off: np.ndarray, s: np.ndarray) -> tuple[np.ndarra
     return line + row * (len(newline) + 1), np.searchsorted(blank, s) + row * (len(blank) + 1)
 
 
+@lru_cache(maxsize=2)
+def _holders(templates: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """For each bigram of the vocabulary the templates that have it, and where its list of them begins."""
+    prepared, vocabulary = _prepared(templates)
+    at = np.concatenate([np.searchsorted(vocabulary, b) for _, b in prepared])
+    own = np.repeat(np.arange(len(prepared)), [len(b) for _, b in prepared])
+    order = np.argsort(at, kind="stable")
+    return own[order], np.searchsorted(at[order], np.arange(len(vocabulary) + 1))
+
+
+def _bounds(data: np.ndarray, s: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words before and after each word in its sentence, which ends with its line or with ``.``, ``!`` or ``?`` and white space."""
+    stop = data == 10
+    stop[:-1] |= np.isin(data[:-1], (33, 46, 63)) & tk.SPACE[data[1:]]
+    seen = np.cumsum(stop)[s]
+    new = np.concatenate([[True], seen[1:] > seen[:-1]])
+    new[first[:-1][first[:-1] < len(s)]] = True
+    begin = np.flatnonzero(new)
+    own = np.cumsum(new) - 1
+    at = np.arange(len(s))
+    return at - begin[own], np.append(begin[1:], len(s))[own] - 1 - at
+
+
+def _runs(pairs: np.ndarray, before: np.ndarray, after: np.ndarray, bags: list[tuple[str, np.ndarray, np.ndarray]], threshold: float) -> Iterator[tuple[str, float]]:
+    """Licence and coefficient of the best runs of one text that don't overlap; bags: templates with the places of their bigrams in the text."""
+    share, total = threshold / (2 - threshold), len(pairs)
+    order = np.argsort(pairs, kind="stable")
+    same = pairs[order[1:]] == pairs[order[:-1]]
+    last, following = np.full(total, -1), np.full(total, -1)
+    last[order[1:][same]], following[order[:-1][same]] = order[:-1][same], order[1:][same]
+    heap: list[tuple[float, str, int, int, int]] = []
+    flags = []
+    starts: dict[int, list[tuple[int, int]]] = {}
+    for t, (_, _, places) in enumerate(bags):
+        flags.append(np.zeros(total, dtype=bool))
+        flags[t][places] = True
+        for k, a in enumerate(places.tolist()):
+            starts.setdefault(a, []).append((t, k))
+
+    def best(t: int, a: int, fresh: np.ndarray) -> None:
+        """The best run from a on; fresh: places of the bigrams not seen since a."""
+        name, bag, _ = bags[t]
+        hit = flags[t][fresh]
+        n, shared, ends = (np.flatnonzero(hit) + 1), np.arange(1, int(hit.sum()) + 1), fresh[hit]
+        if len(ends):
+            size = np.maximum(n, np.minimum(n + before[a] + after[ends + 1], len(bag)))
+            dice = 2 * shared / (size + len(bag))
+            i = int(np.argmax(dice))
+            if dice[i] >= threshold:
+                heapq.heappush(heap, (-float(dice[i]), name, a, int(ends[i]), t))
+
+    first = np.flatnonzero(last < 0).tolist()  # the first places of all bigrams from ``a`` on, in order
+    for a in range(max(starts) + 1):
+        for t, k in starts.get(a, ()):
+            _, bag, places = bags[t]
+            least, most = int(np.ceil(share * len(bag) - 1e-9)), int(len(bag) / share + 1e-9)
+            if k + least <= len(places) and (a + most >= total or len(first) <= a + most or places[k + least - 1] <= first[a + most]):
+                best(t, a, np.array(first[a : a + most]))
+        if following[a] >= 0:
+            insort(first, int(following[a]), a + 1)
+    begins, ends = [], []  # words of the runs that count, in order
+    while heap:
+        dice, name, a, b, t = heapq.heappop(heap)
+        k = bisect_right(begins, a)
+        if k and ends[k - 1] >= a:
+            continue
+        if k < len(begins) and begins[k] <= b + 1:
+            inside = np.arange(a, begins[k] - 1)
+            best(t, a, inside[last[inside] < a])
+            continue
+        begins.insert(k, a)
+        ends.insert(k, b + 1)
+        yield name, -dice
+
+
 def matches(texts: pa.Array, templates: tuple[tuple[str, str], ...], threshold: float) -> list[tuple[int, str, float]]:
     """(row, licence, best Dice) for lower-cased texts."""
     prepared, vocabulary = _prepared(templates)
@@ -119,6 +205,22 @@ def matches(texts: pa.Array, templates: tuple[tuple[str, str], ...], threshold:
             if found >= threshold:
                 key = (int(row[part[0]]), name)
                 best[key] = max(best.get(key, 0.0), found)
+    at = np.flatnonzero(hit & (row[:-1] == row[1:]))
+    if len(at):
+        holders, begin = _holders(templates)
+        term = np.searchsorted(vocabulary, pairs[at])
+        one = np.unique(row[at] * len(vocabulary) + term)
+        many = np.diff(begin)[one % len(vocabulary)]
+        which = holders[np.repeat(begin[one % len(vocabulary)] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        key, n = np.unique(np.repeat(one // len(vocabulary), many) * len(prepared) + which, return_counts=True)
+        key = key[n >= share * np.array(sizes)[key % len(prepared)] - 1e-9]
+        before, after = _bounds(data, s, first) if len(key) else (first, first)
+        for r in np.unique(key // len(prepared)).tolist():
+            i, j = int(first[r]), int(first[r + 1])
+            x, y = np.searchsorted(at, (i, j))
+            bags = [(*prepared[t], at[x:y][_member(pairs[at[x:y]], prepared[t][1])] - i) for t in (key[key // len(prepared) == r] % len(prepared)).tolist()]
+            for name, dice in _runs(pairs[i : j - 1], before[i:j], after[i:j], bags, threshold):
+                best[r, name] = max(best.get((r, name), 0.0), dice)
     return [(r, name, dice) for (r, name), dice in sorted(best.items())]
 
 

@@ -64,6 +64,48 @@ def test_licences_are_those_of_brute_force(spark):
     assert got == pytest.approx(want) and (3, "MIT") in got and (4, "MIT") in got and (1, "Apache-2.0") in got
 
 
+def test_licences_inside_other_text():
+    full = next(t for n, t in C.TEMPLATES if n == "MIT")
+    three = full.replace("conditions: ", "conditions:\n\n").replace("Software. THE SOFTWARE", "Software.\n\nTHE SOFTWARE")
+    assert three.count("\n\n") == 2
+    gpl = "This work is licensed under the GNU General\nPublic License, version 3."
+    texts = [words(1, 300) + "\n\n" + three + "\n\n" + words(2, 200), words(3, 90) + "\n" + gpl + "\n" + words(4, 90), words(5, 100) + " Released under the MIT License. " + words(6, 50) + " Licensed under CC BY 4.0. " + words(7, 50)]
+    texts += ["SPDX-License-Identifier: WTFPL\n" + words(8, 40), words(9, 60) + " Licensed under CC BY-NC-SA 4.0. " + words(10, 60), words(11, 60) + " " + (full + " ") * 3 + next(t for n, t in C.TEMPLATES if n == "BSD-3-Clause") + words(12, 60)]
+    got = C.matches(pa.array([t.lower() for t in texts], pa.large_string()), tuple(C.TEMPLATES), 0.8)
+    assert [(r, n) for r, n, _ in got] == [(0, "MIT"), (1, "GPL-3.0"), (2, "CC-BY-4.0"), (2, "MIT"), (5, "BSD-3-Clause"), (5, "MIT")]
+    assert all(d > 0.99 for *_, d in got)
+
+
+def test_best_run_is_that_of_brute_force():
+    rng = random.Random(3)
+    templates = (("A", "a b c d e f g h"), ("B", "d e f g x y"))
+    for _ in range(150):
+        w = [rng.choice("abcdefghxyzq") for _ in range(rng.randint(0, 3))]
+        for _ in range(rng.randint(1, 3)):
+            part = list(rng.choice(templates)[1].replace(" ", ""))
+            if rng.random() < 0.5:
+                part.insert(rng.randrange(len(part)), "z")
+            w += part + [rng.choice("zq")] * rng.randint(0, 3)
+        runs, n = [], len(w)
+        for name, t in templates:
+            bag = set(itertools.pairwise(t.split()))
+            for i in range(n - 1):
+                for j in range(i + 1, n):
+                    own = list(itertools.pairwise(w[i : j + 1]))
+                    if own[0] in bag and own[-1] in bag:
+                        size = max(len(set(own)), min(len(set(own)) + i + n - 1 - j, len(bag)))
+                        runs.append((-2 * len(set(own) & bag) / (size + len(bag)), name, i, j))
+        taken, want = [], {}
+        for d, name, i, j in sorted(runs):
+            if -d >= 0.8 and all(j < x or i > y for x, y in taken):
+                taken.append((i, j))
+                want[name] = max(want.get(name, 0), -d)
+        best = max(((dice(" ".join(w), t), n) for n, t in templates), key=lambda x: (x[0], -ord(x[1])))
+        if best[0] >= 0.8:
+            want[best[1]] = max(want.get(best[1], 0), best[0])
+        assert {n: d for _, n, d in C.matches(pa.array([" ".join(w)], pa.large_string()), templates, 0.8)} == pytest.approx(want)
+
+
 def test_licence_hard_rows(hard, empty):
     assert C.scan_licenses(hard).collect() == [] and C.scan_licenses(empty).collect() == []
     assert C.matches(pa.array(["released under the mit license.", ""], pa.large_string()), tuple(C.TEMPLATES), 0.8) == [(0, "MIT", 1.0)]
