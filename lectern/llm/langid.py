@@ -3,8 +3,10 @@
 A text is a vector of hashed byte n-grams (1 to 3 bytes, lower case), term
 frequencies damped by log and weighted by inverse document frequency over *all*
 documents, scaled to length 1.  Each language has several centroids, from
-spherical k-means on a bounded sample of labelled rows; a text takes the
-language of the centroid with the highest cosine.  It is rejected (``und``)
+spherical k-means on a bounded sample of its labelled rows, those of smallest
+hash; the sample's size is shared out so that a language of few rows gives all
+it has before a larger one gives more, and never less than ``least_rows`` of
+them.  A text takes the language of the centroid with the highest cosine.  It is rejected (``und``)
 where that cosine is under the centroid's own limit, a low quantile of its
 members' cosines less a margin, or where the text has no letters.
 
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -110,8 +112,16 @@ class LanguageModel:
         return [self.languages[b] if k else "und" for b, k in zip(best, ok)], value, ok
 
 
-def fit(docs: DataFrame, sample_rows: int = 4000, clusters: int = 4, quantile: float = 0.01, margin: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Document frequencies over every row; centroids from at most about ``sample_rows`` labelled rows."""
+def _level(counts: list[int], total: int) -> int:
+    """Rows that a language may give so that all together give at most ``total``."""
+    left = sorted(counts)
+    while left and left[0] * len(left) <= total:
+        total -= left.pop(0)
+    return total // len(left) if left else max(counts, default=0)
+
+
+def fit(docs: DataFrame, sample_rows: int = 4000, clusters: int = 4, quantile: float = 0.01, margin: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_rows: int = 50) -> LanguageModel:
+    """Document frequencies over every row; centroids from at most ``sample_rows`` labelled rows, or ``least_rows`` a language if that is more."""
     ensure_columns(docs, id_col, text_col, lang_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
@@ -132,9 +142,12 @@ def fit(docs: DataFrame, sample_rows: int = 4000, clusters: int = 4, quantile: f
         freq[summed["slot"].to_numpy()] = summed["c"].to_numpy()
         n = int(summed["n"].iloc[0])
     idf = np.log((n + 1) / (freq + 1)).astype(np.float32) + np.float32(0.1)
-    labelled = base.where("text is not null and lang is not null and lang <> 'und'").select("lang", "text", F.xxhash64("id", "text").alias("h"))
-    part = min(1.0, sample_rows / max(n, 1))
-    rows = cut(labelled.where(F.pmod("h", F.lit(1_000_000)) < int(part * 1_000_000)).limit(2 * sample_rows), "language-sample")
+    labelled = base.where("text is not null and lang is not null and lang <> 'und'").where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]")).select("lang", "text", F.xxhash64("id", "text").alias("h"))
+    hashes = cut(labelled.select("lang", "h").distinct(), "language-hashes")
+    level = max(least_rows, _level([r["count"] for r in hashes.groupBy("lang").count().collect()], sample_rows))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    edge = hashes.withColumn("r", place).where(F.col("r") <= level).groupBy("lang").agg(F.max("h").alias("edge"))
+    rows = cut(labelled.join(F.broadcast(edge), "lang").where("h <= edge").select("lang", "text", "h").dropDuplicates(["lang", "h"]), "language-sample")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +161,8 @@ def fit(docs: DataFrame, sample_rows: int = 4000, clusters: int = 4, quantile: f
     for lang, own in got.groupby("lang", sort=True):
         x = np.frombuffer(b"".join(own["x"]), dtype=np.float16).reshape(len(own), DIMS).astype(np.float32)
         c = spherical_kmeans(x, clusters)
-        cos = (x @ c.T).max(axis=1)[own["letters"].to_numpy() >= 400]
-        limit = max(0.0, float(np.quantile(cos, quantile)) * margin) if len(cos) else 0.0
+        cos, long = (x @ c.T).max(axis=1), own["letters"].to_numpy() >= 400
+        limit = max(0.0, float(np.quantile(cos[long] if long.any() else cos, quantile)) * margin)
         centroids.append(c)
         languages += [lang] * len(c)
         limits += [limit] * len(c)

@@ -55,6 +55,17 @@ def test_nearest_centroid_is_brute_force(spark):
         assert got == model.languages[best] and abs(c - float(v @ model.centroids[best])) < 1e-5
 
 
+def test_rare_languages_have_centroids(spark):
+    many = [(i, sample("aa", i, 8), "aa" if i % 40 == 0 else None) for i in range(6000)]
+    few = [(10_000 + i, sample("bb", i, 60), "bb") for i in range(8)] + [(20_000 + i, sample("cc", i, 8), "cc") for i in range(12)]
+    df = spark.createDataFrame(many + few + [many[0]] * 5, "doc_id long, text string, lang string")
+    model = L.fit(df, sample_rows=60)
+    assert [model.languages.count(x) for x in SOUNDS] == [4, 4, 4] and (model.limits > 0).all()
+    got = {r["doc_id"]: r["language"] for r in L.identify(df, model).collect()}
+    assert np.mean([got[i] == x for i, _, x in few]) == 1 and np.mean([got[i] == "aa" for i, *_ in many]) > 0.98
+    assert [L._level(c, 100) for c in ([1000, 10, 50], [20, 30], [500, 500], [])] == [45, 30, 50, 0]
+
+
 def test_hard_rows(hard, empty):
     model = L.fit(hard)
     got = L.identify(hard, model).collect()
