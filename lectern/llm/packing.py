@@ -1,6 +1,7 @@
 """Order-preserving packing of documents into windows.
 
-The corpus, in the order of id, is a row of sentences; a window holds
+The corpus, in the order of id, is a row of sentences, where one longer than a
+window counts as several, each a window long but the last; a window holds
 consecutive sentences, and a cut lies between two of them, inside a document at
 a price.  A window of x tokens costs ``size - x`` for padding if it is short and
 ``truncation * (x - size)`` if it is long, as what is beyond is cut off.  The
@@ -74,6 +75,15 @@ def sentences(texts: pa.Array, tokenizer: str | None = None) -> tuple[np.ndarray
     return size, np.searchsorted(ends, first, side="right")
 
 
+def _within(size: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with sentences longer than ``window`` cut at every window's length."""
+    parts = np.maximum(1, -(-size // window))
+    last = np.cumsum(parts)
+    out = np.full(int(parts.sum()), window, dtype=np.int64)
+    out[last - 1] = size - (parts - 1) * window
+    return out, np.concatenate([[0], last])[at]
+
+
 def best_cuts(size: list[int], inner: list[bool], window: int, truncation: float, split: float) -> tuple[list[int], float]:
     """Ends of the cheapest windows over sentences; inner[j]: a cut after sentence j would be inside a document."""
     n = len(size)
@@ -121,7 +131,7 @@ def pack(docs: DataFrame, window: int = 2048, truncation: float = 4.0, split: fl
         for batch in batches:
             texts = tk.as_array(batch.column(1))
             for i, j in tk.slices(texts):
-                size, at = sentences(texts.slice(i, j - i), tokenizer)
+                size, at = _within(*sentences(texts.slice(i, j - i), tokenizer), window)
                 rows = np.flatnonzero(np.diff(at))
                 if len(rows):
                     whole = size.astype(np.int32)

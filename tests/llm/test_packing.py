@@ -77,6 +77,18 @@ def test_one_shard_is_the_cheapest(spark):
     assert cost == brute(size, inner, 50, 4.0, 7.0)
 
 
+def test_long_sentences_are_cut_inside(spark):
+    rows = [(1, text(1, 40)), (2, "same " * 3000), (3, text(3, 90)), (4, "word " * 64 * 5), (5, "tail " * 130)]
+    got = sorted(P.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=64).collect(), key=lambda r: r["window"])
+    held = {d: 0 for d, _ in rows}
+    for w in got:
+        for d, a, b in zip(w["doc_ids"], w["starts"], w["stops"]):
+            held[d] += b - a
+    assert all(held[d] > len(t.split()) - 64 for d, t in rows) and max(w["truncated"] for w in got) < 64
+    size, at = P._within(*P.sentences(P.pa.array(["a b c d e f g", "", "h. i j"], P.pa.large_string())), 3)
+    assert size.tolist() == [3, 3, 1, 1, 2] and at.tolist() == [0, 3, 3, 5]
+
+
 def test_hard_rows(hard, empty):
     got = P.pack(hard, window=128).collect()
     ids = [d for w in got for d in w["doc_ids"]]
