@@ -271,8 +271,7 @@ def mine(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: s
     in_bad = count(1, least=least)
     lexicon = [(0, h) for h in _lexicon_hashes()]
     in_good = count(0, table([*in_bad.index, *lexicon]))
-    found = [(n, k) for k, n in in_bad.items() if n / bad >= ratio * (in_good.get(k, 0) + 0.5) / good]
-    found = [k for _, k in sorted(found, key=lambda x: (-x[0], x[1]))[:512]]
+    found = [k for k, n in in_bad.items() if n / bad >= ratio * (in_good.get(k, 0) + 0.5) / good]
     common = [k for k in set(lexicon) if in_good.get(k, 0) > 0.005 * good and in_bad.get(k, 0) / bad < 5 * in_good.get(k, 0) / good]
     return {-1: table(common)[0]} | table(found)
 

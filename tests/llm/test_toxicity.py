@@ -58,6 +58,15 @@ def test_label_model_finds_accuracies_and_correlations():
     assert ((p > 0.5) == y).mean() > 0.98
 
 
+def test_many_mined_words_all_vote(spark):
+    rng = random.Random(8)
+    bad = ["".join(rng.choice("gjkmvz") + rng.choice("aou") for _ in range(5)) for _ in range(150)]
+    docs = [(i, " ".join([words(i, 4), *(bad[(5 * i + k) % 150] for k in range(5))])) for i in range(300)] + [(i, words(i, 10)) for i in range(300, 1500)]
+    labels = [(i, int(i < 300)) for i in range(1500)]
+    got = T.mine(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), 20_000, "doc_id", "text")
+    assert set(T._hashes(" ".join(bad)).tolist()) <= set(got[0].tolist())
+
+
 def test_hard_rows(hard, empty, model):
     rows = T.score(hard, model).collect()
     assert len(rows) == hard.count()
