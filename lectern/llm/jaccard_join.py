@@ -1,22 +1,30 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
 Documents are sets of word n-grams (lower case, split at white space).  One
-pass makes a MinHash signature for each.  Documents with the same token
-sequence collapse into one node; nodes that share a band of the signature are
-candidates.  A candidate's signatures are compared a block at a time, and it
-is dropped once the posterior probability (uniform prior, binomial likelihood)
-that its similarity reaches the threshold is under the tolerance; what is left
-is verified on the exact n-gram sets.
+pass makes a MinHash signature for each.  Rows with the same token sequence
+are one *node*; nodes that share a band of the signature are candidates.  A
+candidate's signatures are compared a block at a time, and it is dropped once
+the posterior probability (uniform prior, binomial likelihood) that its
+similarity reaches the threshold is under the tolerance; what is left is
+verified on the exact n-gram sets.
 
 Pairs meet their sets by *hub*: a node's hub is its smallest candidate
 partner, and a pair is handled where the smaller of its two hubs is, so the
 members of a cluster are sent there about once rather than once a pair.  A hub
-with many pairs is split into blocks by the hashes of both ends.
-
-Defined cases: a null id or a text without words is in no pair; a text of
-fewer than n words has one n-gram, all its words; rows that share an id count
-as one document (the one with the smallest token hash), so repeated rows make
-no pair; an empty table gives an empty result; other columns are ignored.
+with many pairs or many bytes is split into blocks by the hashes of both ends.
+
+The join gives every pair.  ``drop_near_duplicates`` needs only which nodes
+hang together, so it compares each node with one centre of its band, joins
+what is linked, takes other centres while that links much, and compares the
+rest only across what isn't linked yet: the groups are those of the join, and a
+cluster of n near copies costs about n comparisons.
+
+Defined cases: a null id or a text without words is in no pair, and such rows
+stay; a text of fewer than n words has one n-gram, all its words; in the join,
+rows that share an id count as one document (the one with the smallest token
+hash), so repeated rows make no pair; ``drop_near_duplicates`` looks at every
+row by itself, whatever its id; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,22 +35,23 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .shared import cut, ensure_columns
 
-HASHES = 160
-ROWS = 4
+HASHES = 192
+ROWS = 3  # 64 bands: a pair at similarity 0.5 shares one with probability 0.9998, at 0.2 with 0.40
 BLOCK = 32
 PAIRS_A_BLOCK = 200_000
+BYTES_A_BLOCK = 32_000_000
 
 
 @lru_cache(maxsize=1)
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
     k = np.arange(1, HASHES + 1, dtype=np.uint64)
-    return tk.mix(k * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1), tk.mix(k + np.uint64(1 << 40))
+    return (tk.mix(k * np.uint64(0x632BE59BD9B4E019)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (tk.mix(k + np.uint64(1 << 40)) >> np.uint64(32)).astype(np.uint32)
 
 
 def minhash(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -52,9 +61,10 @@ def minhash(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     if len(rows):
         mul, add = _seeds()
         starts = at[rows]
+        half = (grams >> np.uint64(32)).astype(np.uint32)
         for j in range(HASHES):
-            low = np.minimum.reduceat((grams ^ add[j]) * mul[j], starts)
-            out[rows, j] = (tk.mix(low) >> np.uint64(48)).astype(np.uint16)
+            low = np.minimum.reduceat((half ^ add[j]) * mul[j], starts)
+            out[rows, j] = (tk.mix(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
@@ -90,11 +100,11 @@ def token_keys(h: np.ndarray, first: np.ndarray, live: np.ndarray) -> np.ndarray
 
 
 def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """id, k (128-bit hash of the token sequence) and sig of the documents with words."""
+    """id, t (hash of the text), k (128-bit hash of the token sequence), size (n-grams) and sig of the rows with an id and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = tk.lower(tk.as_array(batch.column(1)))
+            texts = tk.lower(tk.as_array(batch.column(2)))
             for i, j in tk.slices(texts):
                 data, off = tk.raw(texts.slice(i, j - i))
                 s, e, first = tk.words(data, off)
@@ -105,13 +115,15 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
                     continue
                 sig = minhash(grams, at)[live]
                 key = token_keys(h, first, live)
-                width = HASHES * 2
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).take(pa.array(live)), _fixed(key, 16), _fixed(sig, width)],
-                    names=["id", "k", "sig"],
-                )
+                ids, ts = (batch.column(c).slice(i, j - i).take(pa.array(live)) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, ts, _fixed(key, 16), pa.array(np.diff(at)[live]), _fixed(sig, HASHES * 2)], names=["id", "t", "k", "size", "sig"])
+
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, t long, k binary, size long, sig binary")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null").mapInArrow(run, "id long, k binary, sig binary")
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text")).where("id is not null and text is not null")
 
 
 def _fixed(a: np.ndarray, width: int) -> pa.Array:
@@ -121,7 +133,7 @@ def _fixed(a: np.ndarray, width: int) -> pa.Array:
 
 
 def gram_sets(texts: DataFrame, n: int) -> DataFrame:
-    """id, text -> id, k and grams, the sorted distinct gram hashes as bytes; without texts that have no words."""
+    """node, text -> node and grams, the sorted distinct gram hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,14 +141,11 @@ def gram_sets(texts: DataFrame, n: int) -> DataFrame:
             for i, j in tk.slices(texts):
                 data, off = tk.raw(texts.slice(i, j - i))
                 s, e, first = tk.words(data, off)
-                h = tk.word_hashes(data, s, e)
-                grams, at = tk.gram_hashes(h, first, n)
-                live = np.flatnonzero(np.diff(first))
-                if len(live):
-                    sets = [np.unique(grams[at[r] : at[r + 1]]).tobytes() for r in live]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(live)), _fixed(token_keys(h, first, live), 16), pa.array(sets, pa.binary())], names=["id", "k", "grams"])
+                grams, at = tk.gram_hashes(tk.word_hashes(data, s, e), first, n)
+                sets = [np.unique(grams[at[r] : at[r + 1]]).tobytes() for r in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["node", "grams"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, k binary, grams binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, grams binary")
 
 
 def _verify(threshold: float, tolerance: float):
@@ -200,62 +209,65 @@ def _verify(threshold: float, tolerance: float):
     return run
 
 
-def _join(docs: DataFrame, n: int, threshold: float, tolerance: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(groups: rep, members, copies), (verified pairs of reps: a, b, jaccard) and the signature table."""
+def _nodes(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The signature table, and the nodes: node (a number), k, size, sig, and the row (id, t) from which its n-grams are taken."""
     ensure_columns(docs, id_col, text_col)
     table = cut(signatures(docs, n, id_col, text_col), "signatures")
-    groups = cut(
-        table.groupBy("id").agg(F.min("k").alias("k"), F.count("*").alias("copies")).groupBy("k").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("members"), F.max("copies").alias("copies")),
-        "groups",
-    )
-    nodes = table.groupBy("k").agg(F.first("sig").alias("sig")).join(groups.select("k", "rep"), "k").select("rep", "sig")
-    nodes = cut(nodes, "nodes")
-    band = nodes.select(
-        "rep",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band"),
-    )
-    pairs = cut(
-        band.alias("x").join(band.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(),
-        "candidates",
-    )
-    ends = pairs.select(F.col("a").alias("id"), F.col("a").alias("other")).union(pairs.select("b", "a"))
-    hubs = cut(ends.groupBy("id").agg(F.min("other").alias("hub")), "hubs")
+    one = table.groupBy("k").agg(F.first("sig").alias("sig"), F.max("size").alias("size"), F.min(F.struct("id", "t")).alias("row"))
+    return table, cut(one.select(F.monotonically_increasing_id().alias("node"), "k", "size", "sig", "row.id", "row.t"), "nodes")
+
+
+def _bands(nodes: DataFrame) -> DataFrame:
+    """node and band, for every band of its signature."""
+    part = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    return nodes.select("node", F.explode(part).alias("band")).repartition("band")
+
+
+def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, threshold: float, tolerance: float, id_col: str, text_col: str) -> DataFrame:
+    """a, b, jaccard of those of the distinct ``pairs`` a < b of nodes that reach the threshold."""
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    hubs = cut(ends.groupBy("node").agg(F.min("other").alias("hub")), "hubs")
     placed = (
-        pairs.join(hubs.select(F.col("id").alias("a"), F.col("hub").alias("ha")), "a")
-        .join(hubs.select(F.col("id").alias("b"), F.col("hub").alias("hb")), "b")
+        pairs.join(hubs.select(F.col("node").alias("a"), F.col("hub").alias("ha")), "a")
+        .join(hubs.select(F.col("node").alias("b"), F.col("hub").alias("hb")), "b")
         .select("a", "b", F.least("ha", "hb").alias("hub"))
     )
-    big = cut(placed.groupBy("hub").count().where(F.col("count") > PAIRS_A_BLOCK).select("hub", F.ceil(F.sqrt(F.col("count") / PAIRS_A_BLOCK)).alias("ways")), "large-hubs")
-    side = lambda c: F.pmod(F.xxhash64(c), F.coalesce("ways", F.lit(1)))
-    placed = placed.join(big, "hub", "left").select("a", "b", F.concat_ws("/", "hub", side("a"), side("b")).alias("block"))
     placed = cut(placed, "placed")
-    wanted = placed.select("block", F.col("a").alias("id")).union(placed.select("block", F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    sets = gram_sets(texts.join(hubs.select("id"), "id", "left_semi"), n)
-    if not groups.where("copies > 1").isEmpty():  # of an id's rows, one that stands for it
-        sets = sets.join(groups.select("k", F.col("rep").alias("id")), ["id", "k"], "left_semi").dropDuplicates(["id"])
-    sets = sets.select("id", "grams")
-    items = wanted.join(sets, "id").join(nodes.select(F.col("rep").alias("id"), "sig"), "id").select("block", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "sig", "grams")
-    tasks = placed.select("block", "a", "b", F.lit(None).cast("binary").alias("sig"), F.lit(None).cast("binary").alias("grams"))
-    found = items.unionByName(tasks).repartition("block").sortWithinPartitions("block").mapInArrow(_verify(threshold, tolerance), "a long, b long, jaccard double")
-    return groups, found, table
+    sizes = nodes.select("node", (F.col("size") * 8 + 2 * HASHES + 64).alias("bytes"))
+    held = placed.select("hub", F.col("a").alias("node")).union(placed.select("hub", "b")).distinct().join(sizes, "node").groupBy("hub").agg(F.sum("bytes").alias("bytes"))
+    ways = F.greatest(F.ceil(F.sqrt(F.col("n") / PAIRS_A_BLOCK)), F.ceil(2 * F.col("bytes") / BYTES_A_BLOCK))
+    big = cut(placed.groupBy("hub").agg(F.count("*").alias("n")).join(held, "hub").select("hub", ways.alias("ways")).where("ways > 1"), "large-hubs")
+    side = lambda c: F.pmod(F.xxhash64(c), F.coalesce("ways", F.lit(1)))
+    blocks = placed.join(big, "hub", "left").select("a", "b", F.concat_ws("/", "hub", side("a"), side("b")).alias("block"))
+    wanted = blocks.select("block", F.col("a").alias("node")).union(blocks.select("block", "b")).distinct()
+    rows = nodes.join(hubs.select("node"), "node", "left_semi").select("id", "t", "node", "sig")
+    texts = _rows(docs, id_col, text_col).join(rows.select("id", "t", "node"), ["id", "t"])
+    sets = gram_sets(texts, n).groupBy("node").agg(F.first("grams").alias("grams")).join(rows.select("node", "sig"), "node")
+    items = wanted.join(sets, "node").select("block", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "sig", "grams")
+    tasks = blocks.select("block", "a", "b", F.lit(None).cast("binary").alias("sig"), F.lit(None).cast("binary").alias("grams"))
+    return items.unionByName(tasks).repartition("block").sortWithinPartitions("block").mapInArrow(_verify(threshold, tolerance), "a long, b long, jaccard double")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every pair doc_id_a < doc_id_b found with Jaccard similarity of at least ``threshold``, which is exact for the pairs returned."""
-    groups, found, _ = _join(docs, n, threshold, tolerance, id_col, text_col)
-    ids = groups.select("rep", "members")
-    near = found.join(ids.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a").join(ids.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b")
+    table, nodes = _nodes(docs, n, id_col, text_col)
+    band = _bands(nodes)
+    shared = band.alias("x").join(band.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")))
+    pairs = cut(shared.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "candidates")
+    found = _checked(docs, nodes, pairs, n, threshold, tolerance, id_col, text_col)
+    one = table.groupBy("id").agg(F.min("k").alias("k"))
+    ids = cut(one.join(nodes.select("node", "k"), "k").groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("members")), "members")
+    near = found.join(ids.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(ids.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
     near = near.select("jaccard", F.explode("ma").alias("p"), "mb").select("jaccard", "p", F.explode("mb").alias("q"))
     same = ids.where(F.size("members") > 1).select(F.lit(1.0).alias("jaccard"), F.posexplode("members").alias("i", "p"), "members")
     same = same.select("jaccard", "p", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("q"))
     return near.unionByName(same).select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b"), "jaccard")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id, root: the smallest node that an id is connected to, by alternating large and small stars."""
     now, before = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -264,36 +276,67 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         now = cut(small, "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            break
+            return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
         before = state
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without all but the smallest id of each group of connected near copies.
+def linked_nodes(nodes: DataFrame, check) -> DataFrame:
+    """id, root: nodes that hang together by candidate pairs that pass ``check`` (distinct pairs a < b -> those that link).
 
-    Rows without an id or without words stay.  Of rows that share an id one stays:
-    the one whose text has the smallest hash.
+    Round by round, each band's nodes are compared with one centre, an other one in
+    each round, if they aren't linked to it yet.  Once a round links under a hundredth
+    of what it compares, the rest is compared in full, but only across parts of a band
+    that aren't linked: every node outside the band's largest part with every node
+    that isn't linked to it.
     """
-    groups, found, table = _join(docs, n, threshold, tolerance, id_col, text_col)
-    linked = components(found.select("a", "b"))
-    dropped = (
-        groups.join(linked.select(F.col("id").alias("rep"), "root"), "rep", "left")
-        .select("rep", F.explode("members").alias(id_col), "root")
-        .where(F.col(id_col) != F.coalesce("root", "rep"))
-        .select(id_col)
-    )
-    kept = docs.join(cut(dropped, "dropped"), id_col, "left_anti").select(*docs.columns)
-    if groups.where("copies > 1").isEmpty():
-        return kept
-    again = cut(table.groupBy(F.col("id").alias(id_col)).count().where("count > 1").select(id_col), "again")
-    one = kept.join(again, id_col, "left_semi").withColumn("__lectern_row", F.row_number().over(_by(id_col, text_col))).where("__lectern_row = 1")
-    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    band = _bands(nodes)
+    crowded = band.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
+    open_ = cut(band.join(crowded, "band"), "bands")
+    stars = open_.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    open_, roots, turn = open_.select("band", "node", F.col("node").alias("root")), None, 0
+    while True:
+        stars = cut(stars, "stars")
+        links = cut(check(stars).select("a", "b"), "links")
+        tested, new = stars.count(), links.count()
+        if new or roots is None:
+            roots = components(links if roots is None else links.unionByName(_as_edges(roots)))
+            marked = open_.select("band", "node").join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+            mixed = marked.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+            open_ = cut(marked.join(mixed, "band", "left_semi"), "bands")
+        if 100 * new <= tested:
+            break
+        turn += 1
+        pick = open_.groupBy("band").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("c"))
+        stars = open_.join(pick, "band").where("root <> c.root").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    parts = open_.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    outside = open_.join(parts, "band").where("root <> most").select("band", F.col("node").alias("p"), F.col("root").alias("q"), "most")
+    across = open_.join(outside, "band").where("root <> q and (root = most or node < p)").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+    rest = cut(check(cut(across, "across")).select("a", "b"), "links")
+    return roots if rest.isEmpty() else components(rest.unionByName(_as_edges(roots)))
+
+
+def _as_edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("root").alias("a"), F.col("id").alias("b"))
 
 
-def _by(id_col: str, text_col: str):
-    from pyspark.sql import Window
+def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without all but one row of each group of connected near copies: the row of smallest id, and of those the one of smallest text hash.
 
-    return Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
+    Rows without an id or without words stay.  Rows that share an id are rows like
+    any other: they go only as copies of each other or of other rows.
+    """
+    table, nodes = _nodes(docs, n, id_col, text_col)
+    roots = linked_nodes(nodes, lambda pairs: _checked(docs, nodes, pairs, n, threshold, tolerance, id_col, text_col))
+    group = nodes.select("k", "node").join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("k", F.coalesce("root", "node").alias("root"))
+    rows = cut(table.groupBy("id", "t").agg(F.first("k").alias("k"), F.count("*").alias("copies")).join(group, "k").select("id", "t", "root", "copies"), "grouped")
+    first = rows.groupBy("root").agg(F.min(F.struct("id", "t")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = cut(rows.join(first, "root").where("id <> first.id or t <> first.t").select(F.col("id").alias("__lectern_id"), F.col("t").alias("__lectern_t")), "dropped")
+    own = lambda df: (F.col(f"`{id_col}`").cast("long") == df["__lectern_id"]) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == df["__lectern_t"])
+    kept = docs.join(gone, own(gone), "left_anti")
+    again = rows.where("copies > 1").select(F.col("id").alias("__lectern_id"), F.col("t").alias("__lectern_t"))
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, own(again), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    order = Window.partitionBy(F.col(f"row.`{id_col}`"), F.xxhash64(F.col(f"row.`{text_col}`").cast("string"))).orderBy(F.to_json("row"))
+    once = twice.withColumn("place", F.row_number().over(order)).where("place = 1").select("row.*")
+    return kept.join(again, own(again), "left_anti").unionByName(once)
