@@ -12,8 +12,9 @@ The leaves' totals are all that is collected.  The prefix is found without
 sorting a leaf on one task: token counts by hash bucket give the bucket in
 which the rest ends, and only that bucket's rows are ranked.
 
-Defined cases: a null level is the child named ''; a child without a weight has
-weight 1, one of weight 0 gets nothing; rows that share an id have one hash and
+Defined cases: a source without a number, or with one beyond 64 bits, is of the
+domain ``other``; a null level is the child named ''; a child without a weight
+has weight 1, one of weight 0 gets nothing; rows that share an id have one hash and
 enter together; null texts have 0 tokens; an empty table gives an empty result;
 other columns are kept by ``mix_rows`` and ignored by ``mix``.
 """
@@ -35,9 +36,9 @@ WORD = r"[^ \t\n\x0B\f\r]+"
 class Mix:
     """``levels`` are SQL expressions from the top down; ``weights`` maps a path such as ("d0", "en") to its weight among its siblings, ("*", "en") for any parent."""
 
-    levels: tuple[str, ...] = ("concat('d', pmod(cast(regexp_extract(source, '[0-9]+', 0) as int), 4))", "lang", "source")
+    levels: tuple[str, ...] = ("coalesce(concat('d', pmod(try_cast(regexp_extract(source, '[0-9]+', 0) as bigint), 4)), 'other')", "lang", "source")
     names: tuple[str, ...] = ("domain", "lang", "source")
-    weights: dict = field(default_factory=lambda: {("d0",): 0.4, ("d1",): 0.3, ("d2",): 0.2, ("d3",): 0.1, ("*", "en"): 0.5, ("*", "de"): 0.2, ("*", "fr"): 0.2, ("*", "es"): 0.1})
+    weights: dict = field(default_factory=lambda: {("d0",): 0.4, ("d1",): 0.3, ("d2",): 0.2, ("d3",): 0.1, ("other",): 0.1, ("*", "en"): 0.5, ("*", "de"): 0.2, ("*", "fr"): 0.2, ("*", "es"): 0.1})
     budget: float = 1.0  # share of the table's tokens
     max_epochs: int = 2
     seed: int = 17

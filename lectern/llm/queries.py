@@ -143,7 +143,7 @@ SELECT doc_id, license, max(dice) AS dice FROM f WHERE r = 1 AND dice >= 0.8 GRO
 """.replace("@@TEMPLATES@@", ", ".join(f"({i}, '{n}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (n, t) in enumerate(TEMPLATES, 1))),
     "op6_mixing": r"""
 WITH base AS (
-  SELECT doc_id, 'd' || CAST(CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 4 AS VARCHAR) AS domain, lang, source,
+  SELECT doc_id, coalesce('d' || CAST(TRY_CAST(regexp_extract(source, '[0-9]+') AS BIGINT) % 4 AS VARCHAR), 'other') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     CAST(len(list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens
   FROM documents
 ), leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS t, CAST(2 * sum(n_tokens) AS DOUBLE) AS cap FROM base GROUP BY ALL),

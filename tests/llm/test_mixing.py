@@ -63,3 +63,16 @@ def test_hard_rows(hard, empty):
     assert got and len({(r["doc_id"], r["epoch"]) for r in got if r["doc_id"] == 3}) * 3 == sum(r["doc_id"] == 3 for r in got)
     assert M.mix_rows(hard).columns == hard.columns
     assert M.mix(empty).collect() == [] and M.mix_rows(empty).collect() == []
+
+
+def test_any_source_name(spark):
+    names = ["web", "", None, "s99999999999", "s12345678901234567890", "src7", "a-3-b", "ü"]
+    rows = [(i, words(i, 20), [None, "en", "de"][i % 3], names[i % len(names)]) for i in range(160)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = M.mix(df).collect()
+    assert out and {r["source"] for r in out} <= {n or "" for n in names}
+    domains = {r["source"]: r["domain"] for r in out}
+    assert domains["web"] == domains[""] == domains["ü"] == domains["s12345678901234567890"] == "other"
+    assert domains["s99999999999"] == "d3" and domains["src7"] == domains["a-3-b"] == "d3"
+    assert sum(r["n_tokens"] for r in out) <= 20 * 160
+    assert sorted(r["doc_id"] for r in M.mix_rows(df).where("doc_id is not null").collect()) == sorted(r["doc_id"] for r in out if r["doc_id"] is not None)
