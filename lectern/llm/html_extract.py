@@ -11,8 +11,9 @@ with all below it, or mixed (at a price), so that no ancestor contradicts a
 descendant.
 
 Defined cases: null or empty html gives an empty text; text outside any element
-belongs to the root; unclosed and stray tags are tolerated; scripts, styles,
-templates and comments are no text; repeated rows get equal rows; an empty
+belongs to the root; unclosed and stray tags are tolerated, and a page takes
+time in proportion to its length whatever its tags; scripts, styles, templates
+and comments are no text; repeated rows get equal rows; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -33,10 +34,9 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import ensure_columns
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_QUOTE = re.compile("[>\"']")
+OPAQUE = frozenset("script style noscript template svg iframe textarea".split())
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*[\"']?([^\"'>]+)", re.I)
 _PART = re.compile(r"[a-zA-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,30 +59,102 @@ class Page:
     pieces: list[tuple[int, str]]  # owner node and its text, in document order
 
 
+class _Scanner:
+    """Tags of a page, each character read a bounded number of times, whatever is left open.
+
+    A tag ends at the first ``>`` outside quotes.  A quote that is never closed is
+    no quote; once a tag would swallow the rest of the page, quotes no longer
+    count; a tag without any ``>`` after it is text.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.quotes = source, True
+        self.last = {c: source.rfind(c) for c in ">\"'"}
+        self.low: str | None = None
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose name ends at ``at``; -1 without one."""
+        if at > self.last[">"]:
+            return -1
+        first, i = self.source.find(">", at), at
+        while self.quotes:
+            m = _QUOTE.search(self.source, i)
+            if m is None:
+                self.quotes = False
+                break
+            c, i = m.group(), m.end()
+            if c == ">":
+                return i - 1
+            if i <= self.last[c]:
+                i = self.source.index(c, i) + 1
+        return first
+
+    def after(self, name: str, at: int) -> int:
+        """Where the element ends whose content is no text: past its end tag, or the end of the page."""
+        if self.low is None:
+            self.low = self.source.lower() if len(self.source.lower()) == len(self.source) else self.source
+        found = self.low.find("</" + name, at)
+        close = self.source.find(">", found) if found >= 0 else -1
+        return close + 1 if close >= 0 else len(self.source)
+
+    def tokens(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """Start, end, lower-case name ('' for what is no element), whether it ends one, and attributes."""
+        source, i = self.source, 0
+        while (i := source.find("<", i)) >= 0:
+            start, mark = i, source[i + 1 : i + 2]
+            if source.startswith("<!--", i):
+                stop = source.find("-->", i + 4)
+                i = stop + 3 if stop >= 0 else len(source)
+                yield start, i, "", False, ""
+                continue
+            m = _NAME.match(source, i + 1)
+            if mark not in "!?" and m is None or not mark:
+                i += 1
+                continue
+            stop = source.find(">", i) if m is None and i <= self.last[">"] else self.end(m.end()) if m else -1
+            if stop < 0:
+                if i > self.last[">"]:
+                    return
+                i += 1
+                continue
+            i = stop + 1
+            if m is None:
+                yield start, i, "", False, ""
+                continue
+            name, ends = m.group(1).lower(), mark == "/"
+            if name in OPAQUE and not ends:
+                i = self.after(name, i)
+                yield start, i, "", False, ""
+            else:
+                yield start, i, name, ends, source[m.end() : stop]
+
+
 def parse(source: str) -> Page:
     parent, end, tag, good, poor, pieces = [-1], [0], ["#root"], [0], [0], []
     stack = [0]
+    opened: dict[str, int] = {}
     at = 0
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            end[stack.pop()] = len(parent)
+            node = stack.pop()
+            opened[tag[node]] = opened.get(tag[node], 1) - 1
+            end[node] = len(parent)
 
-    for m in _TOKEN.finditer(source):
-        if m.start() > at:
-            text = source[at : m.start()]
+    for start, stop, name, ends, attributes in _Scanner(source).tokens():
+        if start > at:
+            text = source[at:start]
             if not text.isspace():
                 pieces.append((stack[-1], text))
-        at = m.end()
-        name = m.group(3)
+        at = stop
         if not name:
             continue
-        name = name.lower()
-        if m.group(2):
-            for d in range(len(stack) - 1, 0, -1):
-                if tag[stack[d]] == name:
-                    close(d)
-                    break
+        if ends:
+            if opened.get(name):  # a stray end tag costs nothing
+                d = len(stack) - 1
+                while tag[stack[d]] != name:
+                    d -= 1
+                close(d)
             continue
         if name in P_CLOSERS:
             for d in range(len(stack) - 1, max(0, len(stack) - 6), -1):
@@ -103,16 +175,17 @@ def parse(source: str) -> Page:
         end.append(node + 1)
         tag.append(name)
         g = b = 0
-        if "=" in m.group(4):
-            for value in _ATTR.findall(m.group(4)):
+        if "=" in attributes:
+            for value in _ATTR.findall(attributes):
                 for part in _PART.findall(value):
                     part = part.lower()
                     g += part in GOOD
                     b += part in POOR
         good.append(g)
         poor.append(b)
-        if name not in VOID and not m.group(4).endswith("/"):
+        if name not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            opened[name] = opened.get(name, 0) + 1
     if at < len(source) and not source[at:].isspace():
         pieces.append((stack[-1], source[at:]))
     close(0)

@@ -154,6 +154,30 @@ def test_decoding_is_that_of_brute_force():
         assert abs(score(got) - price(got.astype(int), 0) - best) < 1e-9
 
 
+HOSTILE = ["<a ", "<a \"", "<a '\">", "<!", "<?", "<!--", "<script", "<script ", "<div>", "</div>", "<div></p>", "<a x='", "<p><b>", "</", "<", "< ", "<li>", "<td><tr>", "<a \">\" ", "class = ", "<a class", "&amp"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_html_takes_time_in_proportion(piece):
+    """1 MB of anything in a few seconds, alone and after an open tag."""
+    import time
+
+    for lead in ("", "<div>" * 4000):
+        start = time.process_time()
+        page = H.parse(lead + piece * (1_000_000 // len(piece)))
+        assert time.process_time() - start < 5
+    assert page.end[0] == len(page.parent)
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [("<p>a < b and c > d</p>", "a < b and c > d"), ('<p title="x > y">in</p>', "in"), ('<p title="open>in</p>', "in"), ("<p>x<script>if (a < b) '</p>'</SCRIPT>y</p>", "xy"), ("<p>one<p>two", "one|two"), ("<ul><li>a<li>b</ul>c", "a|b|c"), ("x<!-- > <p> -->y", "xy"), ("x<!-- y", "x"), ("<p>end <a href", "end <a href")],
+)
+def test_html_tokens(source, text):
+    page = H.parse(source)
+    assert H.render(page, np.ones(len(page.parent), bool)).replace("\n", "|") == text
+
+
 def test_html_pages(spark):
     page = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">one</a></li><li><a href="/b">two</a></li></ul></nav><div class="ad">Buy now.</div><article><h1>Head &amp; line</h1><p><b>Bold start.<br><p>Second part, with many words in it, as prose has.</article><footer>&copy; me</footer>'
     rows = [(1, page), (1, page), (2, ""), (3, None), (None, "<p>text"), (4, "just text"), (5, "<<<>>> </b></p><div" + "<div>" * 300), (6, "<p>" + words(1, 20_000) + "</p>")]
