@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .config import Config, save_config
 from .operators import context, evaluate, fusion, smart, symbols, vector
 from .operators.chunking import result_rows
-from .plans import hybrid, indexing
+from .plans import hybrid, indexing, lookups
 from .sources.store import Store
 
 
@@ -31,23 +31,23 @@ class Engine:
         index = self.index()
         if index is None:
             return None
-        vectors = queries.select("query_id", self.embed("query").alias("embedding"))
-        return hybrid.search(index, queries, self.config, query_vectors=vectors, **options)
+        return hybrid.search(index, queries, self.config, embed=self.embed, **options)
 
     def _one(self, query: str, **options) -> list[dict]:
         queries = self.spark.createDataFrame([(0, query)], "query_id long, query string")
         found = self.search_batch(queries, **options)
-        if found is None:
-            return []
+        return [] if found is None else self._shown(found.final)
+
+    def _shown(self, ranked: DataFrame) -> list[dict]:
         active = self.spark.createDataFrame([(x,) for x in self.config.doc_sources] or [("",)], "label string")
-        rows = fusion.active_only(hybrid.with_chunks(found.final, self.store.read("chunks")), active)
+        rows = fusion.active_only(hybrid.with_chunks(ranked, self.store.read("chunks")), active)
         ranks = rows.select("chunk_id", "rank")
         return [r.asDict() for r in result_rows(rows).join(ranks, "chunk_id").orderBy("rank").drop("rank").collect()]
 
     # the operations
 
     def find_symbol(self, symbol_id: str) -> dict | None:
-        index = self.store.read("symbols")
+        index = indexing.symbols_of(self.store)
         row = None if index is None else index.where(F.col("symbol_id") == symbol_id).first()
         return row.asDict() if row and row["source_label"] in self.config.doc_sources else None
 
@@ -56,16 +56,17 @@ class Engine:
         return self._one(query, top_k=top_k, **options)
 
     def get_api_class(self, class_name: str) -> list[dict]:
-        hit = self.find_symbol(class_name)
-        if hit and hit["type"] == "class":
-            found = self._one(class_name, top_k=20, source_label=hit["source_label"], skip_rerank=True)
-            return [r for r in found if r["class_name"] == class_name and r["type"] != "narrative"]
-        return self._one("class " + class_name, skip_rerank=True, top_k=15)[:10]
+        return self._looked_up(lookups.api_classes, [(0, class_name)], "query_id long, class_name string")
 
     def get_api_function(self, function_name: str, class_name: str | None = None) -> list[dict]:
-        hit = (self.find_symbol(f"{class_name}::{function_name}") if class_name else None) or self.find_symbol(function_name)
-        name = f"{class_name}::{function_name}" if class_name else function_name
-        return self._one(hit["symbol_id"], top_k=5, source_label=hit["source_label"], skip_rerank=True) if hit else self._one(name, top_k=10, skip_rerank=True)
+        return self._looked_up(lookups.api_functions, [(0, function_name, class_name)], "query_id long, function_name string, class_name string")
+
+    def _looked_up(self, plan, names: list[tuple], schema: str) -> list[dict]:
+        index = self.index()
+        if index is None:
+            return []
+        active = indexing.symbols_of(self.store).where(F.col("source_label").isin(list(self.config.doc_sources)))
+        return self._shown(plan(index, active, self.spark.createDataFrame(names, schema), self.config, self.embed))
 
     def list_modules(self, source_label=None) -> list[str]:
         chunks = self.store.read("chunks")
@@ -92,11 +93,7 @@ class Engine:
         before = self.config
         self._sources({k: v for k, v in self.config.doc_sources.items() if k != label})
         try:
-            self.store.remove_source("chunks", label)
-            state = self.store.read("state")
-            if state is not None:
-                self.store.write("state", state.where(F.col("source_label") != label))
-            indexing.refresh(self.store, self.config)
+            indexing.remove_source(self.store, label)
         except Exception:
             self._sources(before.doc_sources)
             raise
@@ -117,7 +114,7 @@ class Engine:
 
     def smart_search(self, query: str, payload: str | None, top_k: int = 10) -> dict:
         """``payload``: what code search returned for the query as JSON; None where there is no code search."""
-        index = self.store.read("symbols")
+        index = indexing.symbols_of(self.store)
         if payload is None or index is None:
             return dict(query=query, degraded=True, matched=[], unmatched=[], doc_results=self.search_docs(query, top_k))
         usages = self.spark.createDataFrame([(0, payload)], "query_id long, payload string")

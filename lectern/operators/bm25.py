@@ -40,8 +40,9 @@ def inverse_frequencies(tf: DataFrame, sizes: DataFrame) -> DataFrame:
     """collection, field, term, df, idf.  A negative idf becomes EPSILON times the mean over the field's vocabulary, taken before any is replaced."""
     df = tf.groupBy("collection", "field", "term").agg(F.count("*").alias("df")).join(sizes, "collection")
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    mean = F.avg("raw").over(Window.partitionBy("collection", "field"))
-    return df.withColumn("raw", raw).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))).select("collection", "field", "term", "df", "idf")
+    df = df.withColumn("raw", raw)
+    mean = df.groupBy("collection", "field").agg(F.avg("raw").alias("mean"))  # added up where the terms are; a vocabulary is never in one task
+    return df.join(mean, ["collection", "field"]).select("collection", "field", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def build_index(chunks: DataFrame, full_fields: bool = False) -> DataFrame:
@@ -67,10 +68,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def scores(postings: DataFrame, queries: DataFrame, weights: FieldWeights = FieldWeights()) -> DataFrame:
-    """query_id, chunk_id, score > 0.  The terms are the small side; Spark broadcasts them while their size allows."""
+    """query_id, chunk_id, score > 0 with 6 decimals, so that ties don't hang on the order of a sum.  The terms are the small side; Spark broadcasts them while their size allows."""
     weight = F.create_map(*(x for n in ("symbol_name", "signature", "remarks", "example") for x in (F.lit(n), F.lit(getattr(weights, n)))))[F.col("field")]
     hits = postings.join(query_terms(queries), "term").where((F.col("field") != "example") | F.col("examples"))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(weight * F.col("times") * F.col("impact")).alias("score")).where("score > 0")
+    return hits.groupBy("query_id", "chunk_id").agg(F.sum(weight * F.col("times") * F.col("impact")).alias("score")).where("score > 0").withColumn("score", F.round("score", 6))
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

@@ -6,42 +6,41 @@ relevance: query_id, relevant (array of ids).  ranked: query_id, chunk_id, rank.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Passages of up to this many characters travel with the tasks as one automaton; more go through a join
-PASSAGE_CHARS = 4_000_000
+from .packs import meet, pack
 
 STAGES = "bm25 vector rrf reranker final".split()
 
 
 def passages_in(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     """query_id, relevant: the chunks (chunk_id, remarks) that hold each passage (query_id, text) verbatim; passages that none holds are left out."""
-    some = passages.where("text <> ''").select("query_id", "text")
-    chars = some.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars > PASSAGE_CHARS:
-        hits = some.join(chunks.select("chunk_id", "remarks"), F.contains("remarks", "text")).select("query_id", "chunk_id")
-    else:
-        asked: dict[str, list] = {}
-        for r in some.collect():
-            asked.setdefault(r["text"], []).append(r["query_id"])
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for text, ids in asked.items():
-                automaton.add_word(text, ids)
-            if asked:
-                automaton.make_automaton()
-            for frame in frames:
-                rows = [(q, c) for c, t in zip(frame["chunk_id"], frame["remarks"]) if asked and t for ids in (found for _, found in automaton.iter(t)) for q in ids]
-                yield pd.DataFrame(rows, columns=["query_id", "chunk_id"]).drop_duplicates()
-
-        kinds = f"query_id {passages.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}"
-        hits = chunks.select("chunk_id", "remarks").mapInPandas(run, kinds)
+    kinds = f"query_id {passages.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        @lru_cache(maxsize=4)
+        def automaton(asked: tuple[str, ...]):
+            found = ahocorasick.Automaton()
+            for i, text in enumerate(asked):
+                found.add_word(text, found.get(text, ()) + (i,))
+            found.make_automaton()
+            return found
+
+        for batch in batches:
+            ids, texts, q_ids, asked = (batch.column(batch.schema.get_field_index(c)) for c in ("l_chunk_id", "l_remarks", "r_query_id", "r_text"))
+            for i in range(batch.num_rows):
+                search = automaton(tuple(asked[i].as_py()))
+                pairs = sorted({(q, c) for c, text in enumerate(texts[i].as_py()) for _, found in search.iter(text) for q in found})
+                yield pa.RecordBatch.from_arrays([q_ids[i].values.take(pa.array([q for q, _ in pairs], pa.int64())), ids[i].values.take(pa.array([c for _, c in pairs], pa.int64()))], names=["query_id", "chunk_id"])
+
+    texts = pack(chunks.where("remarks <> ''").select("chunk_id", "remarks"), "l_")
+    hits = meet(texts, pack(passages.where("text <> ''").select("query_id", "text"), "r_")).mapInArrow(run, kinds)
     return hits.groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"))
 
 

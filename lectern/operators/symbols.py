@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.text import last_member, strip_templates
 
 
+COLUMNS = "symbol_id chunk_id type signature source_label source_module source_file".split()
+
+
+def collection_symbols(chunks: DataFrame) -> DataFrame:
+    """One row for each non-empty symbol of a collection: its first chunk by id."""
+    named = chunks.where("symbol_id <> ''")
+    return named.groupBy("collection", "symbol_id").agg(F.min_by(F.struct(*COLUMNS[1:]), "chunk_id").alias("c")).select("collection", "symbol_id", "c.*")
+
+
+def first_symbols(symbols: DataFrame) -> DataFrame:
+    """One row a symbol: that of the first collection."""
+    return symbols.groupBy("symbol_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.struct("collection", "chunk_id")).alias("c")).select("symbol_id", "c.*")
+
+
 def symbol_index(chunks: DataFrame) -> DataFrame:
     """One row a non-empty symbol: its first chunk by collection and id."""
-    order = Window.partitionBy("symbol_id").orderBy("collection", "chunk_id")
-    return chunks.where("symbol_id <> ''").withColumn("nth", F.row_number().over(order)).where("nth = 1").select("symbol_id", "chunk_id", "type", "signature", "source_label", "source_module", "source_file")
+    return first_symbols(collection_symbols(chunks))
 
 
 def lookup(index: DataFrame, names: DataFrame) -> DataFrame:

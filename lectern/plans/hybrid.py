@@ -50,25 +50,34 @@ def collections_of(chunks: DataFrame, label: str | None, strict: bool = False) -
     return found or None
 
 
-def search(index: Index, queries: DataFrame, config: Config = Config(), top_k: int | None = None, module=None, source_label=None, skip_rerank=False, enable_rewrite=False, query_vectors: DataFrame | None = None, replies: DataFrame | None = None, scorer=fusion.lexical_scorer) -> Found:
-    """queries: query_id, query.  ``query_vectors`` (query_id, embedding) go to the vector side; without them it finds nothing.
+def search(index: Index, queries: DataFrame, config: Config = Config(), top_k: int | None = None, module=None, source_label=None, skip_rerank=False, enable_rewrite=False, query_vectors: DataFrame | None = None, replies: DataFrame | None = None, scorer=fusion.lexical_scorer, embed=None) -> Found:
+    """queries: query_id, query.  ``query_vectors`` (query_id, embedding) go to the vector side, or what ``embed`` makes of the queries; without either it finds nothing.
 
     ``enable_rewrite`` adds synonym variants to the keyword side, or what a model
-    proposed in ``replies`` (query_id, reply).  ``scorer`` None leaves fused
+    proposed in ``replies`` (query_id, reply); a completed query among these is
+    embedded in place of the given one.  ``scorer`` None leaves fused
     scores as they are.
     """
     k = top_k or config.top_k_default
     depth = k * config.candidate_expand_factor
     names = collections_of(index.chunks, source_label)
     postings = index.postings if names is None else index.postings.where(F.col("collection").isin(names))
+    meant = queries
     if enable_rewrite:
-        given = rewrite.apply_replies(queries, replies, config.query_rewrite_max_variants)[1] if replies is not None else rewrite.variant_queries(queries, config.query_rewrite_max_variants).select("query_id", "query")
+        if replies is not None:
+            meant, given = rewrite.apply_replies(queries, replies, config.query_rewrite_max_variants)
+        else:
+            given = rewrite.variant_queries(queries, config.query_rewrite_max_variants).select("query_id", "query")
         keyword = rewrite.search_variants(postings, given, depth, config.weights)
     else:
         keyword = bm25.search(postings, queries, depth, config.weights)
+    if query_vectors is None and embed is not None:
+        query_vectors = meant.select("query_id", embed("query").alias("embedding"))
     if query_vectors is not None and index.vectors is not None:
         vectors = index.vectors
-        if names is not None:
+        if names is not None and "collection" in vectors.columns:
+            vectors = vectors.where(F.col("collection").isin(names))
+        elif names is not None:
             vectors = vectors.join(index.chunks.where(F.col("collection").isin(names)).select("chunk_id"), "chunk_id", "left_semi")
         near = vector.knn(vectors, query_vectors, depth, config.metric)
     else:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .config import FieldWeights
 from .functions import text as tx
 from .operators import bm25, chunking, context, evaluate, fusion, rewrite, smart, symbols, vector
-from .plans import hybrid
+from .plans import hybrid, lookups
 from .schema import PARAMS
 from .session import share_code
 from .sources import crawl, pdf, registry
@@ -127,9 +127,7 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, near, fused = keyword_hits(spark, sf_dir), near_hits(spark, sf_dir), fused_hits(spark, sf_dir)
-    part = lambda s, d: d.select(F.lit(s).alias("stage"), "query_id", "chunk_id", "rank")
-    return part("bm25", key).unionByName(part("vector", near)).unionByName(part("rrf", fused)).unionByName(part("reranker", fused.where("rank > 5").withColumn("rank", F.col("rank") - 5))).unionByName(part("final", fused.where("rank <= 10")))
+    return searched(spark, sf_dir).traces()
 
 
 # chunks
@@ -218,12 +216,62 @@ def _(spark, sf_dir):
     return fused_hits(spark, sf_dir)
 
 
-@query("hybrid_topk", HYBRID + r""", boosted AS (SELECT query_id, chunk_id, CASE WHEN contains_code AND regexp_matches(lower(query), 'setup|implement|write|sample|example|create|how to') THEN score * 1.2 ELSE score END AS score FROM fused JOIN chunks USING (chunk_id) JOIN asked USING (query_id))
+RERANKED = HYBRID + r""", rs AS (SELECT query_id, chunk_id, list_distinct(""" + WORDS.format("query") + r""") AS q, """ + WORDS.format("substr(embed_text, 1, 512)") + r""" AS t FROM fused JOIN asked USING (query_id) JOIN chunks USING (chunk_id) WHERE rank <= 30),
+rr AS (SELECT query_id, chunk_id, round(1 / (1 + exp(-(4 * (CAST(len(list_filter(q, lambda x: list_contains(t, x))) AS DOUBLE) / greatest(len(q), 1)) - 2))), 6) AS score FROM rs),
+reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM rr),
+rb AS (SELECT query_id, chunk_id, CASE WHEN contains_code AND regexp_matches(lower(query), 'setup|implement|write|sample|example|create|how to') THEN score * 1.2 ELSE score END AS score FROM reranked JOIN chunks USING (chunk_id) JOIN asked USING (query_id)),
+topped AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM rb QUALIFY rank <= 10)"""
+
+
+def searched(spark: SparkSession, sf_dir: str, **options) -> hybrid.Found:
+    chunks = document_chunks(spark, sf_dir)
+    return hybrid.search(hybrid.Index(chunks, bm25.build_index(chunks), chunk_vectors(spark, sf_dir)), asked(spark, sf_dir), query_vectors=query_vectors(spark, sf_dir), **options)
+
+
+@query("hybrid_topk", RERANKED + " SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM topped")
+def _(spark, sf_dir):
+    return searched(spark, sf_dir).final.withColumn("score", F.round("score", 6))
+
+
+_API = "WITH " + PARTS + r""",
+typed AS (SELECT parts.*, CASE p_size % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'function' ELSE 'narrative' END AS type FROM parts JOIN part ON chunk_id = 'p' || p_partkey),
+f AS (SELECT collection, chunk_id, 'symbol' AS field, 10.0::DOUBLE AS weight, """ + WORDS.format("symbol_id") + r""" AS ws FROM parts UNION ALL SELECT collection, chunk_id, 'signature', 5.0, """ + WORDS.format("signature") + r""" FROM parts UNION ALL SELECT collection, chunk_id, 'remarks', 1.0, """ + WORDS.format("embed_text") + r""" FROM parts),
+tf AS (SELECT collection, field, weight, chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT * EXCLUDE ws, len(ws) AS dl, unnest(ws) AS term FROM f) GROUP BY 1, 2, 3, 4, 5),
+size AS (SELECT collection, field, count(*) AS n, sum(len(ws)) / CAST(count(*) AS DOUBLE) AS avgdl FROM f GROUP BY 1, 2),
+raw AS (SELECT collection, field, term, n, avgdl, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN size USING (collection, field) GROUP BY 1, 2, 3, 4, 5),
+idf AS (SELECT *, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY collection, field) ELSE raw END AS idf FROM raw),
+sym AS (SELECT symbol_id, arg_min(type, collection || chr(1) || chunk_id) AS type FROM typed GROUP BY 1),
+asked AS (SELECT n_nationkey AS query_id, p_name || CASE WHEN n_nationkey % 3 = 2 THEN 's' ELSE '' END AS name FROM nation JOIN part ON p_partkey = n_nationkey + 1),
+named AS (SELECT asked.*, @@KNOWN@@ AS known FROM asked LEFT JOIN sym ON symbol_id = name),
+q AS (SELECT query_id, unnest(""" + WORDS.format("CASE WHEN known THEN name ELSE @@OTHER@@ END") + r""") AS term FROM named),
+s AS (SELECT query_id, chunk_id, round(sum(weight * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN idf USING (collection, field, term) JOIN q USING (term) GROUP BY 1, 2),
+ranked AS (SELECT query_id, chunk_id, known, name, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM s JOIN named USING (query_id) WHERE score > 0)"""
+
+
+def api(spark: SparkSession, sf_dir: str, plan, names: DataFrame) -> DataFrame:
+    chunks = part_chunks(spark, sf_dir).withColumn("class_name", F.col("symbol_id")).withColumn("contains_code", F.lit(False)).withColumn("references", F.array().cast("array<string>"))
+    return plan(hybrid.Index(chunks, bm25.build_index(chunks)), symbols.symbol_index(chunks), names).select("query_id", "chunk_id", "rank")
+
+
+def api_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("p_name", F.when(F.col("n_nationkey") % 3 == 2, "s").otherwise(""))
+    return table(spark, sf_dir, "nation").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("n_nationkey") + 1).select(F.col("n_nationkey").alias("query_id"), name.alias("name"))
+
+
+@query("api_classes", _API.replace("@@KNOWN@@", "coalesce(sym.type = 'class', false)").replace("@@OTHER@@", "'class ' || name") + " SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INTEGER) AS rank FROM ranked JOIN typed USING (chunk_id) WHERE (known AND place <= 20 AND symbol_id = name AND typed.type <> 'narrative') OR (NOT known AND place <= 10)")
+def _(spark, sf_dir):
+    return api(spark, sf_dir, lookups.api_classes, api_names(spark, sf_dir).withColumnRenamed("name", "class_name"))
+
+
+@query("api_functions", _API.replace("@@KNOWN@@", "sym.type IS NOT NULL").replace("@@OTHER@@", "CASE WHEN query_id % 2 = 0 THEN 'X::' ELSE '' END || name") + " SELECT query_id, chunk_id, CAST(place AS INTEGER) AS rank FROM ranked WHERE place <= CASE WHEN known THEN 5 ELSE 10 END")
+def _(spark, sf_dir):
+    return api(spark, sf_dir, lookups.api_functions, api_names(spark, sf_dir).select("query_id", F.col("name").alias("function_name"), F.when(F.col("query_id") % 2 == 0, "X").alias("class_name")))
+
+
+@query("hybrid_skip_rerank", HYBRID + r""", boosted AS (SELECT query_id, chunk_id, CASE WHEN contains_code AND regexp_matches(lower(query), 'setup|implement|write|sample|example|create|how to') THEN score * 1.2 ELSE score END AS score FROM fused JOIN chunks USING (chunk_id) JOIN asked USING (query_id))
 SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM boosted QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 10""")
 def _(spark, sf_dir):
-    index = hybrid.Index(document_chunks(spark, sf_dir), bm25.build_index(document_chunks(spark, sf_dir)).withColumn("impact", F.round("impact", 9)), chunk_vectors(spark, sf_dir))
-    found = hybrid.search(index, asked(spark, sf_dir), query_vectors=query_vectors(spark, sf_dir), skip_rerank=True)
-    return found.final.withColumn("score", F.round("score", 6))
+    return searched(spark, sf_dir, skip_rerank=True).final.withColumn("score", F.round("score", 6))
 
 
 @query("dedup_max", HYBRID + " SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, round(score, 6) AS score FROM keyword UNION ALL SELECT query_id, chunk_id, score FROM near) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, chunk_id) <= 20")
@@ -425,8 +473,8 @@ def _(spark, sf_dir):
     return s.select("num_queries", "num_zero_recall", *(F.round(c, 6).alias(c) for c in ("mrr", "recall_at_10", "ndcg_at_10")))
 
 
-_STAGES = RANKED.rsplit(", got AS", 1)[0] + r""", t AS (SELECT 'bm25' AS stage, query_id, chunk_id, rank FROM keyword UNION ALL SELECT 'vector', query_id, chunk_id, rank FROM near UNION ALL SELECT 'rrf', query_id, chunk_id, rank FROM fused
-  UNION ALL SELECT 'reranker', query_id, chunk_id, rank - 5 FROM fused WHERE rank > 5 UNION ALL SELECT 'final', query_id, chunk_id, rank FROM fused WHERE rank <= 10),
+_STAGES = RERANKED + ", " + RELEVANT + r""", t AS (SELECT 'bm25' AS stage, query_id, chunk_id, rank FROM keyword UNION ALL SELECT 'vector', query_id, chunk_id, rank FROM near UNION ALL SELECT 'rrf', query_id, chunk_id, rank FROM fused
+  UNION ALL SELECT 'reranker', query_id, chunk_id, rank FROM reranked UNION ALL SELECT 'final', query_id, chunk_id, rank FROM topped),
 got AS (SELECT stage, query_id, relevant, coalesce(list(chunk_id ORDER BY rank) FILTER (chunk_id IS NOT NULL), []) AS r FROM (SELECT * FROM rel, (VALUES ('bm25'), ('vector'), ('rrf'), ('reranker'), ('final')) s(stage)) LEFT JOIN t USING (stage, query_id) GROUP BY 1, 2, 3)"""
 
 
@@ -535,16 +583,48 @@ def _(spark, sf_dir):
     return registry.parse_files(files).select(F.col("file_path").cast("int").alias("id"), F.concat_ws("|", "type", "symbol_id").alias("element"))
 
 
-@query("paragraph_groups")
+@query(
+    "paragraph_groups",
+    r"""WITH RECURSIVE p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+cuts(doc_id, i, k, piece, rest) AS (
+  SELECT doc_id, i, 0, NULL::VARCHAR, body FROM p WHERE regexp_matches(body, '\S')
+  UNION ALL
+  SELECT doc_id, i, k + 1, CASE WHEN length(rest) > 1500 THEN regexp_replace(substr(rest, 1, edge), '^\s+|\s+$', '', 'g') ELSE rest END, CASE WHEN length(rest) > 1500 THEN regexp_replace(substr(rest, edge + 1), '^\s+|\s+$', '', 'g') END
+  FROM (SELECT *, substr(rest, 1, 1501) AS h, CASE
+      WHEN instr(reverse(h), ' .') BETWEEN 1 AND length(h) - 2 THEN length(h) - instr(reverse(h), ' .') + 1
+      WHEN instr(reverse(h), ' !') BETWEEN 1 AND length(h) - 2 THEN length(h) - instr(reverse(h), ' !') + 1
+      WHEN instr(reverse(h), ' ?') BETWEEN 1 AND length(h) - 2 THEN length(h) - instr(reverse(h), ' ?') + 1
+      WHEN instr(reverse(h), ' ') BETWEEN 1 AND length(h) - 1 THEN length(h) - instr(reverse(h), ' ') + 1
+      ELSE 1500 END AS edge FROM cuts WHERE rest IS NOT NULL AND (k = 0 OR rest <> ''))
+), pieces AS (SELECT doc_id, piece, length(piece) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS j FROM cuts WHERE piece IS NOT NULL),
+grouped(doc_id, j, part, size, piece) AS (
+  SELECT doc_id, j, 0, n, piece FROM pieces WHERE j = 1
+  UNION ALL
+  SELECT x.doc_id, x.j, CASE WHEN g.size + x.n > 1500 THEN g.part + 1 ELSE g.part END, CASE WHEN g.size + x.n > 1500 THEN x.n ELSE g.size + x.n END, x.piece FROM grouped g JOIN pieces x ON x.doc_id = g.doc_id AND x.j = g.j + 1
+)
+SELECT doc_id, CAST(part AS INTEGER) AS part, string_agg(piece, chr(10) || chr(10) ORDER BY j) AS text FROM grouped GROUP BY doc_id, part""",
+)
 def _(spark, sf_dir):
     group = F.pandas_udf(lambda s: s.map(lambda t: pdf.group_paragraphs([p for p in (t or "").split("\n") if p.strip()])), "array<string>")
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(group("text")).alias("part", "text"))
 
 
-@query("context_budget")
+@query(
+    "context_budget",
+    "WITH " + SCORED + r""", hits AS (SELECT query_id, chunk_id, floor(round(score, 6) * 1000) / 1000 AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS r FROM scored QUALIFY r <= 10),
+hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM hits),
+placed AS (SELECT h.*, c.source_label AS source, c.doc_id, c.remarks, min(place) OVER (PARTITION BY query_id, c.source_label) AS s, min(place) OVER (PARTITION BY query_id, c.source_label, c.source_module) AS m FROM hit h JOIN chunks c USING (chunk_id)),
+told AS (SELECT *, row_number() OVER o AS nth, CASE WHEN lag(s) OVER o IS DISTINCT FROM s THEN chr(10) || '## Source: ' || source || chr(10) ELSE '' END || chr(10) || '### [NARRATIVE] (narrative)' || chr(10) || '*Source: documents/' || doc_id || ' | Score: ' || printf('%.4f', score) || '*' || chr(10) || remarks AS body
+  FROM placed WINDOW o AS (PARTITION BY query_id ORDER BY s, m, place)),
+roomy AS (SELECT t.*, query, '[Context — Query: "' || query || '"]' || chr(10) || repeat('=', 60) AS head FROM told t JOIN asked USING (query_id)),
+budget AS (SELECT *, 600 - length(head) // 4 - coalesce(sum(length(body) // 4) OVER (PARTITION BY query_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM roomy),
+kept AS (SELECT query_id, any_value(head) AS head, string_agg(CASE WHEN length(body) // 4 > room THEN substr(body, 1, CAST(room * 4 AS BIGINT)) || chr(10) || '[...truncated]' ELSE body END, chr(10) ORDER BY nth) AS body, count(*) AS n FROM budget WHERE nth = 1 OR room > 0 GROUP BY 1)
+SELECT query_id, coalesce(head || chr(10) || body || chr(10) || chr(10) || '---' || chr(10) || '*' || n || ' chunks included in context.*', 'No documentation was found for: ' || query) AS context, coalesce(n, 0)::BIGINT AS chunks FROM asked LEFT JOIN kept USING (query_id)""",
+)
 def _(spark, sf_dir):
     chunks = document_chunks(spark, sf_dir)
-    return context.build_context(keyword_hits(spark, sf_dir, 10).join(chunks, "chunk_id"), asked(spark, sf_dir), 600)
+    hits = keyword_hits(spark, sf_dir, 10).withColumn("score", F.floor(F.col("score") * 1000) / 1000)
+    return context.build_context(hits.join(chunks, "chunk_id"), asked(spark, sf_dir), 600)
 
 
 @query("code_symbols", r"""SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN [event_type] WHEN 1 THEN ['A::' || event_type, event_type] ELSE [] END AS names FROM events WHERE event_id < 2000""")
@@ -562,3 +642,6 @@ def _(spark, sf_dir):
     usages = n.select(F.col("n_nationkey").alias("query_id"), F.to_json(F.struct(F.array(F.struct(F.when(F.col("n_nationkey") % 2 == 0, F.col("p_name")).otherwise("nothing::like_it").alias("symbol"))).alias("hits"))).alias("payload"))
     matched, _ = smart.api_matches(usages, symbols.symbol_index(part_chunks(spark, sf_dir)))
     return smart.doc_queries(n.select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("ask "), "n_name").alias("query")), matched).select("query_id", "query")
+
+
+from . import queries_parse  # noqa: E402, F401  (adds the parsers' queries)

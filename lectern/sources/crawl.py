@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,17 @@ def module_of(rel_path: Column) -> Column:
     return F.when(F.size(parts) > 1, parts[0]).otherwise("root")
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """The root as the file system names it in the paths of its files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def list_files(spark: SparkSession, label: str, root: str) -> DataFrame:
     """Files of a source with a known type: source_label, source_module, rel_path, file_path, file_type, mtime, size and content, which is read only where it is used."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.split("://", 1)[-1].rstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + "/?" + base.lstrip("/").replace(".", r"\.") + "/", "")
+    base = qualified(spark, root)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(re.sub(r"([\\*?\[\]{}])", r"\\\1", base))
+    rel = F.substring("path", F.lit(len(base) + (not base.endswith("/")) + 1), F.length("path"))
     files = read.select(F.lit(label).alias("source_label"), rel.alias("rel_path"), F.col("path").alias("file_path"), F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
     return files.withColumn("file_type", file_type(F.col("rel_path"))).where("file_type <> 'unknown'").withColumn("source_module", module_of(F.col("rel_path")))
 

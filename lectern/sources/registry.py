@@ -45,25 +45,44 @@ def file_type(path: Column) -> Column:
     return F.coalesce(table[ext], F.lit("unknown"))
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Elements of files (content, file_type, source_label, source_module, file_path).  A file that can't be parsed has none."""
+def parse_report(files: DataFrame) -> DataFrame:
+    """Elements of files (content, file_type, source_label, source_module, file_path), and ``error``.
+
+    A file without elements has one row without a type; so has a file that can't be
+    parsed, with what went wrong.
+    """
     parsers = dict(_PARSERS)
+    none = dict.fromkeys(ELEMENT_NAMES)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for f in frame.itertuples():
                 fn, binary = parsers.get(f.file_type, (None, False))
-                if fn is None or f.content is None:
-                    continue
+                found, error = [], None
                 try:
-                    found = fn(f.content if binary or isinstance(f.content, str) else bytes(f.content).decode("utf-8", "replace"))
-                except Exception:  # one bad file must not end the job
-                    found = []
-                rows += [{**e, "source_label": f.source_label, "source_module": f.source_module, "file_path": f.file_path} for e in found]
-            yield pd.DataFrame(rows, columns=ELEMENT_NAMES)
+                    if fn is not None and f.content is not None:
+                        found = fn(f.content if binary or isinstance(f.content, str) else bytes(f.content).decode("utf-8", "replace"))
+                except Exception as e:  # one bad file must not end the job; the row says so
+                    error = f"{type(e).__name__}: {e}"[:300]
+                rows += [{**e, "source_label": f.source_label, "source_module": f.source_module, "file_path": f.file_path, "error": error} for e in found or [none]]
+            yield pd.DataFrame(rows, columns=[*ELEMENT_NAMES, "error"])
+
+    return files.select("content", "file_type", "source_label", "source_module", "file_path").mapInPandas(run, ELEMENT + ", error string")
+
+
+def elements_of(report: DataFrame) -> DataFrame:
+    return report.where("type is not null").drop("error")
 
-    return files.select("content", "file_type", "source_label", "source_module", "file_path").mapInPandas(run, ELEMENT)
+
+def failures_of(report: DataFrame) -> DataFrame:
+    """source_label, source_module, file_path, error of the files that couldn't be parsed."""
+    return report.where("error is not null").select("source_label", "source_module", "file_path", "error")
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """The elements of files."""
+    return elements_of(parse_report(files))
 
 
 def _register_known() -> None:

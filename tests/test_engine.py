@@ -97,3 +97,66 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "2.json").write_text(json.dumps(row | {"remarks": "changed"}))
     start(spark, str(tmp_path / "in"), store, str(tmp_path / "cp")).awaitTermination(60)
     assert [r["remarks"] for r in store.read("chunks").collect()] == ["changed"]
+    e = Engine(spark, Config(db_path=str(tmp_path / "db"), doc_sources={"s": "x"}))
+    (hit,) = e.search_docs("changed")
+    assert hit["remarks"] == "changed" and store.read("vectors").count() == 1 and {r["term"] for r in store.read("postings").collect()} == {"[remarks]", "changed"}
+
+
+def _files(root):
+    return {str(p) for p in root.rglob("*.parquet")}
+
+
+def test_one_changed_file_writes_one_collection(spark, tmp_path):
+    root, db = tmp_path / "docs", tmp_path / "db"
+    for m in range(5):
+        (root / f"m{m}").mkdir(parents=True)
+        (root / f"m{m}" / "x.h").write_text(f"// About {m}.\nint call{m}(int a);\n")
+    (root / "m0" / "empty.h").write_text("// nothing\n")
+    e = Engine(spark, Config(db_path=str(db)))
+    e.add_doc_source("s", str(root))
+    totals = e.reindex()
+    assert totals.files == 6 and totals.failed == 0 and set(totals.seconds) == {"crawl", "parse", "chunks", "embed", "postings", "symbols"}
+    assert e.reindex().files == 0  # a file without elements isn't parsed again
+    names = {"chunks", "vectors", "postings", "symbols"}
+    before = {n: _files(db / n) for n in names}
+    (root / "m3" / "x.h").write_text("int other(int a);\n")
+    assert e.reindex().files == 1 and e.find_symbol("other") and e.find_symbol("call3") is None and e.find_symbol("call4")
+    for n in names:
+        assert len(_files(db / n) - before[n]) == 1, n  # one file of one part
+    for k in range(2):  # old parts go
+        (root / "m3" / "x.h").write_text(f"int other{k}(int a);\n")
+        e.reindex()
+    for n in names:
+        assert len(_files(db / n)) <= 5 + 1, n
+
+
+def test_completed_query_goes_to_the_vectors(engine, spark):
+    q = spark.createDataFrame([(1, "cut"), (2, "halt")], "query_id long, query string")
+    replies = spark.createDataFrame([(1, '{"completed": "Cutting guide", "sub_queries": [], "variants": []}')], "query_id long, reply string")
+    asked = []
+
+    def embed(column):
+        asked.append(column)
+        return engine.embed(column)
+
+    from lectern.plans import hybrid
+
+    found = hybrid.search(engine.index(), q, engine.config, enable_rewrite=True, replies=replies, embed=embed)
+    direct = hybrid.search(engine.index(), spark.createDataFrame([(1, "Cutting guide"), (2, "halt")], q.schema), engine.config, embed=engine.embed)
+    assert asked and sorted(map(tuple, found.vector.collect())) == sorted(map(tuple, direct.vector.collect()))
+
+
+def test_embedding_is_tried_twice(spark):
+    from lectern.operators.vector import batched_embedder
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def encode(texts):
+        calls.add(1)
+        if "bad" in texts:
+            raise RuntimeError
+        return [[float(len(t))] * 2 for t in texts]
+
+    df = spark.createDataFrame([("a",), ("bb",), ("bad",), (None,)], "t string").coalesce(1)
+    got = [list(r[0]) for r in df.select(batched_embedder(encode, 2, batch=2, wait=0.0)("t")).collect()]
+    assert got == [[1.0, 1.0], [2.0, 2.0], [0.0, 0.0], [0.0, 0.0]] and calls.value == 3

@@ -59,13 +59,14 @@ def test_summary(spark):
     assert none["num_queries"] == 0 and none["mrr"] == 0.0
 
 
-def test_passages_both_ways(spark, monkeypatch):
+def test_passages_broadcast_and_not(spark):
     chunks = spark.createDataFrame([("a", "xx one two yy one two"), ("b", "one"), ("c", None), ("d", "two one two")], "chunk_id string, remarks string")
     asked = spark.createDataFrame([(1, "one two"), (2, "one"), (3, "zz"), (4, ""), (5, None), (6, "one two")], "query_id long, text string")
     want = {1: ["a", "d"], 2: ["a", "b", "d"], 6: ["a", "d"]}
     assert {r["query_id"]: r["relevant"] for r in evaluate.passages_in(chunks, asked).collect()} == want
-    monkeypatch.setattr(evaluate, "PASSAGE_CHARS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     assert {r["query_id"]: r["relevant"] for r in evaluate.passages_in(chunks, asked).collect()} == want
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert evaluate.passages_in(chunks, asked.limit(0)).count() == 0
 
 

@@ -81,16 +81,31 @@ def test_tokenizer_knows_unicode_space(spark):
     assert got == text.lower().split()
 
 
-def test_knn_both_ways(spark, monkeypatch):
-    rows = spark.createDataFrame([(f"v{i}", [float(i), 1.0]) for i in range(20)] + [("x", None), ("y", [1.0])], "chunk_id string, embedding array<float>")
-    q = spark.createDataFrame([(1, [3.2, 1.0]), (2, None)], "query_id long, embedding array<float>")
+def test_knn_is_that_of_brute_force(spark):
+    """Broadcast and product, queries of two lengths, ties."""
+    stored = [(f"v{i:02}", [float(i % 17), 1.0]) for i in range(40)] + [(f"w{i}", [1.0, float(i), 2.0]) for i in range(9)] + [("n", None), ("e", []), ("z", [0.0, 0.0])]
+    given = [(1, [3.2, 1.0]), (2, None), (3, [0.5, 2.0, 2.0]), (4, []), (5, [16.0, -1.0]), (6, [1.0, 1.0, 1.0, 1.0])]
+    rows = spark.createDataFrame(stored, "chunk_id string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame(given, "query_id long, embedding array<float>").repartition(2)
+
+    def score(x, y, metric):
+        x, y = [float(np.float32(v)) for v in x], [float(np.float32(v)) for v in y]
+        if metric == "l2sq":
+            return round(1 - sum((a - b) ** 2 for a, b in zip(x, y)), 6)
+        size = (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+        return round(sum(a * b for a, b in zip(x, y)) / size, 6) if size else None
+
     for metric in ("l2sq", "cosine"):
-        fast = vector.knn(rows, q, 4, metric).collect()
-        monkeypatch.setattr(vector, "QUERY_NUMBERS", 0)
-        slow = vector.knn(rows, q, 4, metric).collect()
-        monkeypatch.undo()
-        assert [tuple(r) for r in fast] == [tuple(r) for r in slow]
-    assert [r["chunk_id"] for r in sorted(vector.knn(rows, q, 3).collect(), key=lambda r: r["rank"])] == ["v3", "v4", "v2"]
+        want = []
+        for i, x in given:
+            found = sorted((-s, c) for c, y in stored if x and y and len(x) == len(y) and (s := score(x, y, metric)) is not None)
+            want += [(i, c, pytest.approx(-s, abs=2e-6), r) for r, (s, c) in enumerate(found[:4], 1)]
+        for limit in ("10MB", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            got = [(r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in vector.knn(rows, q, 4, metric).collect()]
+            assert len(got) == len(want) and sorted((g[0], g[3], g[1]) for g in got) == sorted((w[0], w[3], w[1]) for w in want)
+            assert all(any(g[:2] == w[:2] and g[2] == w[2] for w in want) for g in got)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_known_fusion(spark):
@@ -162,8 +177,8 @@ def test_hybrid_end_to_end(spark, chunks, ask):
 def test_cache_split(spark):
     texts = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "b"), ("4", "")], "chunk_id string, text string")
     embed = vector.hashing_embedder(8)
-    done, new = vector.embed_with_cache(texts, spark.createDataFrame([], "key string, embedding array<double>"), embed, "m")
-    assert done.count() == 4 and new.count() == 2  # the empty text's zeros aren't kept
+    new = vector.embed_missing(texts, spark.createDataFrame([], "key string, embedding array<double>"), embed, "m").where(vector.IS_VECTOR)
+    assert new.count() == 2  # the empty text's zeros aren't kept
     hits, misses = vector.split_cached(texts, new, "m")
     assert {r["chunk_id"] for r in hits.collect()} == {"1", "2", "3"} and misses.count() == 1
     assert vector.split_cached(texts, new, "other")[0].count() == 0

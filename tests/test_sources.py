@@ -62,17 +62,17 @@ int free_one(void);
 
 
 def test_headers_by_line():
-    got = {(e["type"], e["symbol_id"]): e for e in headers.parse_header(HEADER)}
+    got = {(e["type"], e["symbol_id"]): e for e in headers.parse_header_lines(HEADER)}
     assert set(got) == {("macro", "MAX_N"), ("typedef", "id_t"), ("class", "Shape"), ("function", "Shape::area"), ("enum", "Shape::Kind"), ("function", "Shape::free_one")}
     area = got["function", "Shape::area"]
     assert area["remarks"] == "Area of it" and [p["name"] for p in area["params"]] == ["m", "scale"] and got["class", "Shape"]["remarks"] == "A shape."
-    assert got["function", "Shape::free_one"]["params"] == [] and headers.parse_header("") == []
+    assert got["function", "Shape::free_one"]["params"] == [] and headers.parse_header_lines("") == headers.parse_header(None) == []
 
 
 def test_headers_by_scope():
     more = HEADER + 'namespace n {\ntemplate <typename T>\nclass Box {\n  struct Inner { int x; void go(); };\n  Box(const Box&) = default;\n  bool operator==(const Box& o) const { return true; }\n  virtual void pure() = 0;\n};\nusing Id = long;\n}\nextern "C" {\nvoid c_call(int n);\n}\nstruct P { int a; };\nenum class Color { Red };\n'
-    got = [(e["type"], e["symbol_id"]) for e in headers.parse_header_scoped(more)]
-    for want in [("macro", "MAX_N"), ("typedef", "id_t"), ("class", "Shape"), ("function", "Shape::area"), ("enum", "Shape::Kind"), ("function", "free_one"), ("class", "Box"), ("class", "Box::Inner"), ("function", "Box::Inner::go"), ("function", "Box::operator=="), ("function", "Box::pure"), ("typedef", "Id"), ("function", "c_call"), ("class", "P"), ("enum", "Color")]:
+    got = [(e["type"], e["symbol_id"]) for e in headers.parse_header(more)]
+    for want in [("macro", "MAX_N"), ("typedef", "id_t"), ("class", "Shape"), ("function", "Shape::area"), ("enum", "Shape::Kind"), ("function", "free_one"), ("class", "Box"), ("class", "Box::Inner"), ("function", "Inner::go"), ("function", "Box::operator=="), ("function", "Box::pure"), ("typedef", "Id"), ("function", "c_call"), ("class", "P"), ("enum", "Color")]:
         assert want in got, (want, got)
 
 
@@ -118,3 +118,42 @@ def test_annotated_queries(spark, tmp_path):
     f = tmp_path / "q.jsonl"
     f.write_text('# note\n\n{"query": "b", "relevant_chunk_ids": ["1"]}\n{"query": "a"}\n')
     assert [(r["query"], r["relevant"]) for r in read_queries(spark, str(f)).orderBy("query_id").collect()] == [("a", []), ("b", ["1"])]
+
+
+@pytest.mark.parametrize("name", ["c++ docs", "a.b", "50% [x] {y} *", "ü (1)"])
+def test_roots_with_odd_names(spark, tmp_path, name):
+    root = tmp_path / name
+    (root / "core").mkdir(parents=True)
+    (root / "core" / "a b+.html").write_text("<h1>A</h1>")
+    (root / "top.h").write_text("int f(int a);")
+    for given in (str(root), str(root) + "/", "file://" + str(root)):
+        got = {(r["rel_path"], r["source_module"]) for r in crawl.list_files(spark, "s", given).collect()}
+        assert got == {("core/a b+.html", "core"), ("top.h", "root")}
+
+
+def test_report_names_what_failed(spark):
+    def broken(text):
+        raise ValueError("no such thing")
+
+    registry.register_parser("broken", [".broken"])(broken)
+    try:
+        files = spark.createDataFrame([("x", "broken", "l", "m", "a"), ("", "header", "l", "m", "b"), ("int f();", "header", "l", "m", "c")], "content string, file_type string, source_label string, source_module string, file_path string")
+        report = registry.parse_report(files).cache()
+        assert [tuple(r) for r in registry.failures_of(report).collect()] == [("l", "m", "a", "ValueError: no such thing")]
+        assert [r["symbol_id"] for r in registry.elements_of(report).collect()] == ["f"] and report.count() == 3
+    finally:
+        del registry._PARSERS["broken"], registry._TYPES[".broken"]
+
+
+def test_deep_and_hostile_pages():
+    import time
+
+    for piece in ("<div>", "</div>", "<b>x", "<table><tr><td>", "<p></i>"):
+        start = time.process_time()
+        html_pages.parse_page("<h1>T</h1>" + piece * 40_000 + "end")
+        assert time.process_time() - start < 10
+    for piece in ("class A {", "void f(", "}", "template <", "[[", "a = {", "x;", "/*", "\"", "#define X \\\n"):
+        start = time.process_time()
+        headers.parse_header(piece * 10_000)
+        headers.parse_header_lines(piece * 10_000)
+        assert time.process_time() - start < 10, piece
