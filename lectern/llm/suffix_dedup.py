@@ -9,6 +9,11 @@ windows meets in one place, and neighbouring windows of a document with the
 same minimiser travel as one snippet.  Snippets whose minimiser occurs once
 can't hold a repeat and never travel.
 
+Counts of minimisers are added up where they arise, so one that occurs everywhere
+costs its task no more than others.  A minimiser with more than ``hot_words`` words
+of different snippets is split: its windows are routed again, by the smallest
+hash under another order, and so on, until each part fits.
+
 Where they meet, snippets with equal words are one, and a suffix array is built
 over the rest: words are ranked; only suffixes smaller than their successors
 are sorted directly (to the depth that counts); the others are induced by one
@@ -30,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +43,8 @@ from . import textkit as tk
 from .shared import cut, ensure_columns
 
 CHUNK_WORDS = 400_000
+HOT_WORDS = 2_000_000
+LEVELS = 12  # orders that are tried; windows that share their minimiser in all of them stay together
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -72,6 +80,45 @@ def segments(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple
     return h, first, row[starts], starts, ends, low, times
 
 
+def resplit(words: list[np.ndarray], length: int, gram: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of snippets by their minimisers under another order: snippet, first window, one past the last window, minimiser."""
+    size = np.array([len(w) for w in words])
+    first = np.concatenate([[0], np.cumsum(size)])
+    h = tk.mix(np.concatenate(words).astype(np.uint64) + np.uint64(level) * tk.P)
+    low = sliding_min(tk.mix(tk.window_hashes(h, gram) + np.uint64(level)), length - gram + 1)
+    row = np.searchsorted(first, np.arange(len(low)), side="right") - 1
+    ok = np.arange(len(low)) + length <= first[row + 1]
+    new = np.ones(len(low), dtype=bool)
+    new[1:] = (low[1:] != low[:-1]) | ~ok[:-1] | (row[1:] != row[:-1])
+    starts = np.flatnonzero(new & ok)
+    bounds = np.flatnonzero(np.concatenate([new | ~ok, [True]]))
+    ends = bounds[np.searchsorted(bounds, starts, side="right")]
+    return row[starts], starts - first[row[starts]], ends - first[row[starts]], low[starts]
+
+
+def _parts(length: int, gram: int, level: int):
+    """Rows of ``one`` -> the same columns for each part of a snippet, with the snippet (oh, osh) and the part's place in it (off)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = lambda c: batch.column(batch.schema.get_field_index(c))
+            lists = [np.frombuffer(x, dtype=np.uint32) for x in col("words").to_pylist()]
+            row, lo, hi, key = resplit(lists, length, gram, level)
+            take = pa.array(row)
+            words = [lists[r][a : b + length - 1].tobytes() for r, a, b in zip(row, lo, hi)]
+            same = pa.array([int.from_bytes(xxhash.xxh64_digest(w), "big", signed=True) for w in words], pa.int64())
+            old = np.asarray(col("h"))[row].view(np.uint64)
+            pos = np.asarray(col("pos"))[row] + lo
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tk.mix(old ^ tk.mix(key)).view(np.int64)), same, col("id").take(take), col("r").take(take), pa.array(pos.astype(np.int32)), col("copies").take(take), pa.array(words, pa.binary()), col("h").take(take), col("sh").take(take), pa.array(lo.astype(np.int32))],
+                names=["h", "sh", "id", "r", "pos", "copies", "words", "oh", "osh", "off"],
+            )
+
+    return run
+
+
 def _minimisers(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,8 +165,8 @@ def _snippets(length: int, gram: int):
                 short = (h >> np.uint64(32)).astype(np.uint32)
                 words = [short[a:b].tobytes() if f else None for a, b, f in zip(lo, end, fresh)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(low), pa.array(sh.view(np.int64)), pa.array(ids[i:j][row]), pa.array(keys[i:j][row]), pa.array((lo - first[row]).astype(np.int32)), pa.array(words, pa.binary())],
-                    names=["h", "sh", "id", "r", "pos", "words"],
+                    [pa.array(low), pa.array(sh.view(np.int64)), pa.array(ids[i:j][row]), pa.array(keys[i:j][row]), pa.array((lo - first[row]).astype(np.int32)), pa.array((end - lo).astype(np.int32)), pa.array(words, pa.binary())],
+                    names=["h", "sh", "id", "r", "pos", "size", "words"],
                 )
 
     return run
@@ -280,17 +327,38 @@ def _classes(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+RUNS = "h long, sh long, at int, n int, fid long, fr long, fpos int"
+
+
+def _runs(one: DataFrame, sizes: DataFrame, length: int, gram: int, hot_words: int, level: int = 1) -> DataFrame:
+    """The runs of ``_classes`` for distinct snippets (h, sh, id, r, pos, copies, words), of ``sizes`` (h, sh, size) words; what is too much for one task is split first."""
+    total = sizes.repartition("h").groupBy("h", "sh").agg(F.max("size").alias("size")).groupBy("h").agg(F.sum("size").alias("n"))
+    hot = cut(total.where(F.col("n") > hot_words).select("h"), "hot-minimisers")
+    whole = level >= LEVELS or hot.isEmpty()
+    cold = one if whole else one.join(hot, "h", "left_anti").select(one.columns)
+    runs = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_classes(length), RUNS)
+    if whole:
+        return runs
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in one.schema.fields) + ", oh long, osh long, off int"
+    parts = cut(one.join(hot, "h", "left_semi").select(one.columns).mapInArrow(_parts(length, gram, level), schema), "parts")
+    sizes = parts.select("h", "sh", (F.octet_length("words") / 4).alias("size"))
+    fewer = parts.groupBy("h", "sh").agg(F.min(F.struct("id", "r", "pos")).alias("m"), F.sum("copies").alias("copies"), F.max("words").alias("words"))
+    below = _runs(fewer.select("h", "sh", "m.*", "copies", "words"), sizes, length, gram, hot_words, level + 1)
+    back = parts.select("h", "sh", "oh", "osh", "off").join(below, ["h", "sh"])
+    return runs.unionByName(back.select(F.col("oh").alias("h"), F.col("osh").alias("sh"), (F.col("off") + F.col("at")).alias("at"), "n", "fid", "fr", "fpos"))
+
+
+def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
     """id, r (text hash), start, stop (words, half open) of passages that occur earlier, with the first occurrence: first_id, first_start."""
     ensure_columns(docs, id_col, text_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     seen = base.mapInArrow(_minimisers(length, gram), "h long, id long")
-    again = seen.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1").groupBy("id").agg(F.collect_set("h").alias("hs"))
-    again = cut(again, "minimisers")
-    found = cut(base.withColumn("r", F.xxhash64("text")).join(again, "id").mapInArrow(_snippets(length, gram), "h long, sh long, id long, r long, pos int, words binary"), "snippets")
+    seen = cut(seen, "seen-minimisers")
+    more = seen.groupBy("h").count().where("count > 1").select("h")
+    again = cut(seen.join(more, "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias("hs")), "minimisers")
+    found = cut(base.withColumn("r", F.xxhash64("text")).join(again, "id").mapInArrow(_snippets(length, gram), "h long, sh long, id long, r long, pos int, size int, words binary"), "snippets")
     one = found.groupBy("h", "sh").agg(F.min(F.struct("id", "r", "pos")).alias("m"), F.count("*").alias("copies"), F.max("words").alias("words"))
-    one = one.select("h", "sh", "m.*", "copies", "words").repartition("h").sortWithinPartitions("h")
-    runs = one.mapInArrow(_classes(length), "h long, sh long, at int, n int, fid long, fr long, fpos int")
+    runs = _runs(one.select("h", "sh", "m.*", "copies", "words"), found.select("h", "sh", "size"), length, gram, hot_words)
     marks = (
         found.select("h", "sh", "id", "r", "pos")
         .join(runs, ["h", "sh"])
@@ -310,9 +378,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, id_col: st
     )
 
 
-def repeated_passages(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
     """One row for each passage of at least ``length`` words that occurs earlier in the corpus, as long as it follows one first occurrence."""
-    spans = repeated_spans(docs, length, gram, id_col, text_col)
+    spans = repeated_spans(docs, length, gram, id_col, text_col, hot_words)
     return spans.select(
         F.col("id").alias("doc_id"),
         F.col("start").cast("long").alias("start_word"),

@@ -60,6 +60,36 @@ def test_passages_are_those_of_brute_force(spark):
     assert set(got) == brute(rows) and len(got) == len(set(got))
 
 
+def boilerplate():
+    """A passage of 20 words, which often has the minimiser, in many contexts, some of which repeat."""
+    plate, rows = words(950, 20), []
+    for i in range(300):
+        body = f"{words(2000 + i % 290, 60)} {plate} {words(3000 + i % 280, 60)}"
+        rows.append((i, f"{words(4000 + i, 5)} {body}" if i % 2 else body))
+    return rows + [(400, words(1, 40) + (" " + plate) * 30), (401, words(2, 41) + (" " + plate) * 25)]
+
+
+def test_split_minimisers_change_nothing(spark):
+    """With room for few words every minimiser is split again and again."""
+    for rows in (planted(), boilerplate()):
+        want = brute(rows)
+        for hot in (S.HOT_WORDS, 500, 60):
+            got = [tuple(r) for r in S.repeated_passages(frame(spark, rows), hot_words=hot).collect()]
+            assert set(got) == want and len(got) == len(want), hot
+
+
+def test_a_hot_minimiser_is_spread():
+    """One run of words in 100,000 contexts: its windows go to many other minimisers."""
+    rng = np.random.default_rng(1)
+    plate = rng.integers(0, 1 << 32, 16, dtype=np.uint64).astype(np.uint32)
+    contexts = rng.integers(0, 1 << 32, (100_000, 68), dtype=np.uint64).astype(np.uint32)
+    snippets = [np.concatenate([c[:34], plate, c[34:]]) for c in contexts]
+    row, lo, hi, key = S.resplit(snippets, 50, 16, 1)
+    assert (hi - lo).sum() == sum(len(s) - 49 for s in snippets) and (lo >= 0).all()
+    _, many = np.unique(key, return_counts=True)
+    assert many.max() <= len(snippets) and many.max() < 0.25 * len(key) and len(many) > 100_000
+
+
 def test_cutting_leaves_first_occurrences(spark):
     rows = planted()
     df = frame(spark, rows)
