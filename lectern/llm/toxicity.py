@@ -13,7 +13,8 @@ loss on posteriors as soft labels) over the voters and hashed words is trained
 on a bounded sample and scores every document.
 
 Defined cases: a null or wordless text has posterior and score 0 and is not
-toxic; repeated rows get equal rows; without labels nothing is mined; an empty
+toxic; a combination of votes that no row had in fitting has the posterior that
+the model's rates give it; repeated rows get equal rows; without labels nothing is mined; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -131,7 +132,7 @@ def _features(t: Tokens, mined: dict[int, np.ndarray], lexicons: list[np.ndarray
 
 
 def label_model(masks: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dict:
-    """Balance, firing rates, correlations within classes, weights and the posterior of each mask."""
+    """Class balance, firing rates by class, correlations within classes, weights and accuracies of the voters."""
     m = len(NAMES)
     fired = ((masks[:, None] >> np.arange(m)) & 1).astype(float)
     total = counts.sum()
@@ -162,7 +163,18 @@ def label_model(masks: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dic
         if i > 5 and moved < 1e-6:
             break
     accuracy = np.where(polarity, rate[1] * balance + (1 - rate[0]) * (1 - balance), rate[0] * (1 - balance) + (1 - rate[1]) * balance)
-    return {"balance": balance, "rate": rate, "correlation": rho, "share": share, "accuracy": accuracy, "posterior": dict(zip(masks.tolist(), post.tolist()))}
+    return {"balance": balance, "rate": rate, "correlation": rho, "share": share, "accuracy": accuracy}
+
+
+def posterior(label: dict, masks: np.ndarray) -> np.ndarray:
+    """The label model's probability that a row with these votes is toxic, also for combinations that it wasn't fitted to; 0 of a model fitted to nothing."""
+    if "rate" not in label:
+        return np.zeros(len(masks))
+    fired = ((masks[:, None] >> np.arange(len(NAMES))) & 1).astype(float)
+    rate, balance = label["rate"], label["balance"]
+    gain = np.log(rate[1] / rate[0]) * fired + np.log((1 - rate[1]) / (1 - rate[0])) * (1 - fired)
+    logit = np.log(balance / (1 - balance)) + (gain * label["share"]).sum(axis=1)
+    return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
 def _fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 400) -> np.ndarray:
@@ -215,7 +227,7 @@ class ToxicityModel:
         """Posterior of the label model and the classifier's probability."""
         votes, hits, t = self.voters(texts)
         masks = votes @ (1 << np.arange(len(NAMES)))
-        post = np.array([self.label["posterior"].get(int(k), np.nan) for k in masks])
+        post = posterior(self.label, masks)
         x = self.inputs(votes, hits, t)
         p = 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
         empty = np.diff(t.first) == 0
@@ -279,7 +291,7 @@ def mine(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: s
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, dense: float = 0.005, long: int = 50, threshold: float = 0.5) -> ToxicityModel:
     ensure_columns(docs, id_col, text_col)
     mined = mine(docs, labels, sample_rows, id_col, text_col) if labels is not None else {}
-    model = ToxicityModel(mined, dense, long, {"posterior": {}}, np.zeros(len(NAMES) + BUCKETS + 3, np.float32), threshold)
+    model = ToxicityModel(mined, dense, long, {}, np.zeros(len(NAMES) + BUCKETS + 3, np.float32), threshold)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,10 +303,10 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
     base = _base(docs, id_col, text_col)
     counts = base.select("text").where("text is not null").mapInArrow(votes, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n")).toPandas()
-    model.label = label_model(counts["mask"].to_numpy(np.int64), counts["n"].to_numpy(float))
     total = int(counts["n"].sum())
     if not total:
         return model
+    model.label = label_model(counts["mask"].to_numpy(np.int64), counts["n"].to_numpy(float))
     part = min(1.0, sample_rows / total)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
             for i, j in tk.slices(texts, 500_000, 1024):
                 v, hits, t = model.voters(texts.slice(i, j - i))
                 x = model.inputs(v, hits, t)[np.diff(t.first) > 0].astype(np.float16)
-                y = np.array([model.label["posterior"][int(k)] for k in (v @ (1 << np.arange(len(NAMES))))[np.diff(t.first) > 0]])
+                y = posterior(model.label, (v @ (1 << np.arange(len(NAMES))))[np.diff(t.first) > 0])
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(y, pa.float64())], names=["x", "y"])
 
     rows = base.where("text is not null").where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < int(part * 1_000_000)).select("text").mapInArrow(examples, "x binary, y double").limit(2 * sample_rows).toPandas()

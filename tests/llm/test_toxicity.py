@@ -1,6 +1,10 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import toxicity as T
@@ -54,7 +58,7 @@ def test_label_model_finds_accuracies_and_correlations():
     assert abs(model["balance"] - 0.1) < 0.02
     assert np.abs(model["rate"][1][2:9] - 0.5).max() < 0.06 and model["rate"][0][2:9].max() < 0.03
     assert model["correlation"][0, 1] > 0.8 and model["correlation"][2, 3] < 0.3 and model["share"][0] < model["share"][3]
-    p = np.array([model["posterior"][int(k)] for k in fired @ (1 << np.arange(m))])
+    p = T.posterior(model, fired @ (1 << np.arange(m)))
     assert ((p > 0.5) == y).mean() > 0.98
 
 
@@ -67,6 +71,91 @@ def test_many_mined_words_all_vote(spark):
     assert set(T._hashes(" ".join(bad)).tolist()) <= set(got[0].tolist())
 
 
+WORD = re.compile(rb"[a-z'\x80-\xff]+")
+
+
+def split(text):
+    return WORD.findall((text or "").lower().encode())
+
+
+def hashed(word: bytes) -> dict[int, int]:
+    """The hashes under which a word (0) and its beginnings are in tables."""
+    t = T.tokens(pa.array([word.decode(errors="surrogateescape")], pa.large_string()) if word.isascii() else pa.array([word], pa.large_binary()).view(pa.large_string()))
+    return {0: int(t.h[0])} | {size: int(h[0]) for size, (_, h) in t.begin.items() if len(h)}
+
+
+def brute_votes(text, mined, dense, long):
+    """Voters that fire, number of hits, hit words: word by word, from the docstring's rules."""
+    w = split(text)
+    veto = set(mined.get(-1, np.zeros(0, np.uint64)).tolist())
+    lexicons = {n: {x.encode() for x in v.lower().split()} for n, v in T.LEXICONS.items()}
+    keys = [hashed(x) for x in w]
+    of = {n: [i for i, x in enumerate(w) if x in words_ and keys[i][0] not in veto] for n, words_ in lexicons.items()}
+    tables = {k: set(v.tolist()) for k, v in mined.items() if k >= 0}
+    of["beginnings"] = [i for i, k in enumerate(keys) if any(k.get(size) in tables.get(size, ()) for size in T.BEGINNINGS)]
+    of["words"] = [i for i, k in enumerate(keys) if k[0] in tables.get(0, ())]
+    hits = sorted(set().union(*of.values()))
+    second = {x.encode() for x in T.SECOND_PERSON.split()}
+    fires = {n for n, at in of.items() if at}
+    fires |= {"two_different"} if len({w[i] for i in hits}) >= 2 else set()
+    fires |= {"three_hits"} if len(hits) >= 3 else set()
+    fires |= {"dense"} if len(hits) >= max(1, dense * len(w)) else set()
+    fires |= {"second_person"} if any(w[j] in second for i in hits for j in range(max(0, i - 3), min(len(w), i + 4))) else set()
+    if w and not hits:
+        fires.add("no_hit_short" if len(w) < long else "no_hit_long")
+    return fires, len(hits), w, keys
+
+
+def brute_score(text, model):
+    fires, hits, w, keys = brute_votes(text, model.mined, model.dense, model.long)
+    if not w:
+        return fires, 0.0, 0.0
+    label, logit = model.label, math.log(model.label["balance"] / (1 - model.label["balance"]))
+    for j, name in enumerate(T.NAMES):
+        clean, toxic = label["rate"][0][j], label["rate"][1][j]
+        logit += label["share"][j] * (math.log(toxic / clean) if name in fires else math.log((1 - toxic) / (1 - clean)))
+    x = [float(n in fires) for n in T.NAMES] + [math.log1p(hits), min(1.0, 50 * hits / len(w))]
+    bag = Counter(k[0] >> 54 for k in keys)
+    size = max(1.0, math.sqrt(sum(bag.values())))
+    x += [math.sqrt(bag[b]) / size for b in range(T.BUCKETS)]
+    z = sum(a * b for a, b in zip(x, model.weights.tolist())) + float(model.weights[-1])
+    return fires, 1 / (1 + math.exp(-logit)), 1 / (1 + math.exp(-z))
+
+
+def test_votes_and_scores_are_those_of_brute_force(spark, model):
+    docs, _ = corpus(120, seed=9)
+    docs += [(1000, "You idiot! you, IDIOT. Du Idiot"), (1001, "blödmann ist dumm; du"), (1002, ""), (1003, None), (1004, "..."), (1005, "zagroba " * 40 + "you"), (1006, "don't hate"), (1007, words(5, 20_000) + " scum"), (1008, "imbécile été ça")]
+    docs.append(docs[0])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = T.score(df, model).collect()
+    assert len(got) == len(docs)
+    by = {r["doc_id"]: r for r in got}
+    for i, text in docs:
+        fires, post, score = brute_score(text, model)
+        votes, hits, _ = model.voters(T.tk.lower(T.tk.as_array(pa.array([text], pa.string()))))
+        assert {n for n, v in zip(T.NAMES, votes[0]) if v} == fires, i
+        assert by[i]["posterior"] == pytest.approx(post, abs=1e-9) and by[i]["score"] == pytest.approx(score, abs=1e-4), i
+        assert by[i]["is_toxic"] == (by[i]["score"] >= 0.5)
+
+
+def test_mining_is_that_of_brute_force(spark, model):
+    docs, labels = corpus()
+    toxic = dict(labels)
+    bad, good = (sorted({t for i, t in docs if toxic[i] == y}) for y in (1, 0))
+
+    def seen(texts):
+        n = Counter()
+        for t in texts:
+            n.update({(size, x[:size] if size else x) for x in split(t) for size in (0, *T.BEGINNINGS) if len(x) >= size})
+        return n
+
+    in_bad, in_good = seen(bad), seen(good)
+    least = max(4, math.ceil(0.015 * len(bad)))
+    want = {k for k, n in in_bad.items() if n >= least and n / len(bad) >= 30 * (in_good[k] + 0.5) / len(good)}
+    for size in (0, *T.BEGINNINGS):
+        assert sorted(model.mined[size].tolist()) == sorted(hashed(x)[size] for s, x in want if s == size)
+
+
 def test_hard_rows(hard, empty, model):
     rows = T.score(hard, model).collect()
     assert len(rows) == hard.count()
