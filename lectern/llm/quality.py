@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule is a Spark SQL predicate that rejects a text.  On a bounded sample
-every rule is timed and its rejections are noted; then, greedily, the next rule
+every rule is timed, warm, and its rejections are noted; then, greedily, the next rule
 is the one with most rejections among the sample's survivors per second.  The
 whole table runs the rules in that order as one CASE, so a row stops at its
 first rejection.  The order changes the time, never the result.
@@ -12,6 +12,7 @@ an empty table gives an empty result and any order; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.sql import DataFrame
@@ -19,41 +20,59 @@ from pyspark.sql import functions as F
 
 from .shared import cut, ensure_columns
 
-WORDS = r"filter(split(text, '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '')"
-LINES = r"filter(split(text, '\\n'), x -> trim(x) <> '')"
+BLANK = r" \\t\\n\\x0B\\f\\r"
+WORDS = f"array_remove(split(text, '[{BLANK}]+'), '')"
 GAPS = r"(2 * length(text) - length(replace(text, ' ', '')) - length(replace(text, '\n', '')))"
+BREAKS = r"(length(text) - length(replace(text, '\n', '')))"
+LINES = r"filter(split(text, '\\n'), x -> trim(x) <> '')"
+TWICE = rf"regexp_count(text, '(?<![^{BLANK}])([^{BLANK}]++)(?=[{BLANK}]++\\1(?![^{BLANK}]))')"
 
-#: name -> predicate over ``text`` that is true where the text is rejected
+#: name -> predicate over ``text`` that is true where the text is rejected.  Cheap necessary conditions stand first
 RULES = {
-    "symbols": r"length(regexp_replace(text, '[^#*&%$|~^<>{}=+\\\\]+', '')) > 0.05 * length(text)",
+    "symbols": r"length(text) - length(regexp_replace(text, '[#*&%$|~^<>{}=+\\\\]+', '')) > 0.05 * length(text)",
     "exclamations": "length(text) - length(replace(text, '!', '')) > 0.05 * length(text)",
-    "capitals": "length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]+', '')) > 0.4 * length(text)",
-    "digits": "length(regexp_replace(text, '[^0-9]+', '')) > 0.3 * length(text)",
+    "capitals": "length(text) - length(regexp_replace(text, '[A-ZÀ-ÖØ-Þ]+', '')) > 0.4 * length(text)",
+    "digits": "length(text) - length(regexp_replace(text, '[0-9]+', '')) > 0.3 * length(text)",
     "broken_characters": "length(text) - length(replace(text, '�', '')) > 0.01 * length(text)",
     "word_length": f"length(text) - {GAPS} not between 1.5 * ({GAPS} + 1) and 25 * ({GAPS} + 1)",
-    "ellipses": r"size(split(text, '(\\.\\.\\.|…)\\n')) - 1 > 0.3 * size(split(text, '\\n'))",
-    "bullets": r"size(split(text, '\\n[ \\t]*[-*•]')) - 1 > 0.9 * size(split(text, '\\n'))",
-    "repeated_lines": f"element_at(transform(array({LINES}), a -> size(a) >= 4 and size(array_distinct(a)) < 0.5 * size(a)), 1)",
-    "repeated_words": f"element_at(transform(array({WORDS}), a -> size(a) >= 20 and size(array_distinct(a)) < 0.3 * least(size(a), 1000)), 1)",
-    "adjacent_repeats": f"element_at(transform(array({WORDS}), a -> size(a) >= 5 and size(filter(transform(a, (x, i) -> if(i > 0, x = a[i - 1], false)), x -> x)) > 0.3 * size(a)), 1)",
+    "ellipses": rf"(length(text) - length(replace(text, '...\n', ''))) / 4 + (length(text) - length(replace(text, '…\n', ''))) / 2 > 0.3 * ({BREAKS} + 1)",
+    "bullets": rf"{BREAKS} > 0 and regexp_count(text, '\\n[ \\t]*[-*•]') > 0.9 * ({BREAKS} + 1)",
+    "repeated_lines": f"{BREAKS} >= 3 and element_at(transform(array({LINES}), a -> size(a) >= 4 and size(array_distinct(a)) < 0.5 * size(a)), 1)",
+    # vocabularies grow about as the square root of long texts, so beyond 1,000 words the limit does too
+    "repeated_words": f"element_at(transform(array({WORDS}), a -> size(a) >= 20 and size(array_distinct(a)) < 0.3 * least(size(a), sqrt(1000 * size(a)))), 1)",
+    "adjacent_repeats": rf"{TWICE} > 1 and element_at(transform(array({WORDS}), a -> size(a) >= 5 and {TWICE} > 0.3 * size(a)), 1)",
 }
 
 
-def measure(docs: DataFrame, rules: dict[str, str], rows: int, id_col: str, text_col: str) -> list[str]:
-    """Names of the rules in the order of rejections among survivors per second, on a sample of about ``rows``."""
+def _rounded(seconds: float) -> float:
+    """The nearest power of the square root of 2, 2 ms at least, so that noise seldom changes an order."""
+    return 2.0 ** (round(2 * math.log2(max(seconds, 0.002))) / 2)
+
+
+def measure(docs: DataFrame, rules: dict[str, str], rows: int, id_col: str, text_col: str, repeats: int = 2) -> list[str]:
+    """Names of the rules in the order of rejections among survivors per second, on a sample of about ``rows``.
+
+    Each rule runs over the sample in one task, once to compile and ``repeats`` times
+    for its cost, the least of these; equal scores go by cost, then by name.
+    """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("trim(text) <> ''")
     total = docs.count()
     sample = cut(base.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(total, 1)))).select("text").limit(2 * rows), "quality-sample")
+    sample = sample.coalesce(1)
     took = {}
     for name, rule in {"": "true", **rules}.items():
-        start = time.perf_counter()
-        sample.agg(F.count_if(F.expr(rule))).first()
-        took[name] = time.perf_counter() - start
+        counted = sample.agg(F.count_if(F.expr(rule)))
+        times = []
+        for _ in range(1 + repeats):  # the first run compiles
+            start = time.perf_counter()
+            counted.collect()
+            times.append(time.perf_counter() - start)
+        took[name] = min(times[1:])
+    cost = {n: _rounded(took[n] - took[""]) for n in rules}
     hits = sample.select(*(F.expr(r).alias(n) for n, r in rules.items())).collect()
     left, order = list(rules), []
     while left:
-        score = lambda n: sum(h[n] for h in hits) / max(took[n] - took[""], 0.002)
-        best = max(left, key=lambda n: (score(n), -took[n], n))
+        best = max(left, key=lambda n: (sum(h[n] for h in hits) / cost[n], -cost[n], n))
         order.append(best)
         left.remove(best)
         hits = [h for h in hits if not h[best]]

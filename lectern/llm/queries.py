@@ -119,7 +119,7 @@ SELECT doc_id, coalesce(NOT (
   OR len(string_split_regex(text, '(\.\.\.|…)\n')) - 1 > 0.3 * len(string_split(text, chr(10)))
   OR len(string_split_regex(text, '\n[ \t]*[-*•]')) - 1 > 0.9 * len(string_split(text, chr(10)))
   OR (len(l) >= 4 AND len(list_distinct(l)) < 0.5 * len(l))
-  OR (len(w) >= 20 AND len(list_distinct(w)) < 0.3 * least(len(w), 1000))
+  OR (len(w) >= 20 AND len(list_distinct(w)) < 0.3 * least(len(w), sqrt(1000 * len(w))))
   OR (len(w) >= 5 AND len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > 0.3 * len(w))
 ), false) AS keep
 FROM t

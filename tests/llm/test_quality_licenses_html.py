@@ -34,6 +34,40 @@ def test_order_never_changes_the_result(spark):
     assert dict(results.pop()) == {r[0]: not any(r[1:]) for r in each}
 
 
+def test_rules_are_those_of_brute_force(spark):
+    """Each rule by itself against plain Python, on junk, prose and odd white space."""
+    import math
+    import re
+
+    rng = random.Random(6)
+    alphabet = ["a", "bb", "a", "Ü", "x.", "...", "…", "!", "#", "7", "\n", "\n\n", " ", "\t", "- ", "\n- ", "\n\t• ", "\x0b", "é", "�", "\u00a0", "WORD "]
+    texts = ["".join(rng.choice(alphabet) + rng.choice(["", " "]) for _ in range(rng.randint(1, 80))) for _ in range(400)]
+    texts += list(JUNK.values()) + [words(1, 900), words(2, 40_000), "a " * 3000, "w\n" * 5, "a b a b " * 400, " ".join(f"v{i % 700}" for i in range(2000)), "long" * 5000]
+    blank = "[ \\t\\n\\x0b\\f\\r]+"
+
+    def brute(t):
+        n, w, lines = len(t), [x for x in re.split(blank, t) if x], [x for x in t.split("\n") if x.strip(" ")]
+        count = lambda p: sum(map(len, re.findall(p, t)))
+        gaps = t.count(" ") + t.count("\n")
+        return {
+            "symbols": count(r"[#*&%$|~^<>{}=+\\]") > 0.05 * n, "exclamations": t.count("!") > 0.05 * n, "capitals": count("[A-ZÀ-ÖØ-Þ]") > 0.4 * n, "digits": count("[0-9]") > 0.3 * n, "broken_characters": t.count("�") > 0.01 * n,
+            "word_length": not 1.5 * (gaps + 1) <= n - gaps <= 25 * (gaps + 1), "ellipses": len(re.findall(r"(?:\.\.\.|…)\n", t)) > 0.3 * (t.count("\n") + 1), "bullets": len(re.findall(r"\n[ \t]*[-*•]", t)) > 0.9 * (t.count("\n") + 1),
+            "repeated_lines": len(lines) >= 4 and len(set(lines)) < 0.5 * len(lines), "repeated_words": len(w) >= 20 and len(set(w)) < 0.3 * min(len(w), math.sqrt(1000 * len(w))),
+            "adjacent_repeats": len(w) >= 5 and sum(a == b for a, b in itertools.pairwise(w)) > 0.3 * len(w),
+        }
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").where("trim(text) <> ''")
+    for row in df.select("id", *(Q.F.expr(f"coalesce({r}, false)").alias(n) for n, r in Q.RULES.items())).collect():
+        got, want = row.asDict(), brute(texts[row["id"]])
+        assert {n: got[n] for n in want} == want, texts[row["id"]][:200]
+
+
+def test_order_is_stable(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    orders = [Q.measure(docs, Q.RULES, 2000, "doc_id", "text") for _ in range(2)]
+    assert sorted(orders[0]) == sorted(Q.RULES) and orders[0][0] == orders[1][0]
+
+
 def test_quality_hard_rows(hard, empty):
     rows = Q.quality_cascade(hard).collect()
     by = {r["doc_id"]: r["keep"] for r in rows}
