@@ -38,9 +38,14 @@ def _run_folder(root: str) -> str:
     return path
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder among this process's tables."""
+    return f"{_run_folder(shared_dir(spark))}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: an executor that is lost later costs no recomputation."""
-    path = f"{_run_folder(shared_dir(df.sparkSession))}/{name}-{uuid.uuid4().hex}"
+    path = run_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
