@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     evaluation = sub.add_parser("eval")
     evaluation.add_argument("queries")
     evaluation.add_argument("--compare-rewrite", help="once without and once with rewriting", action="store_true")
+    evaluation.add_argument("--latency", help="time each query by itself", action="store_true")
     sub.add_parser("status")
     return p
 
@@ -75,7 +76,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif args.command == "eval":
         annotated = read_queries(engine.spark, args.queries)
         modes = {"plain": False, "rewrite": True} if args.compare_rewrite else {"plain": False}
-        show({name: engine.evaluate(annotated, enable_rewrite=on) for name, on in modes.items()})
+        asked = [r["query"] for r in annotated.select("query").collect()] if args.latency else []
+        timed = lambda on: {"latency": engine.latencies(asked, enable_rewrite=on)} if args.latency else {}
+        show({name: engine.evaluate(annotated, enable_rewrite=on) | timed(on) for name, on in modes.items()})
     else:
         show(engine.index_status())
     return 0

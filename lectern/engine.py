@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import os
+import time
+from collections import OrderedDict
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,9 @@ from .plans import hybrid, indexing, lookups
 from .sources.store import Store
 
 
+KEPT = 128
+
+
 class Engine:
     """Single-query calls for people and tools; batches go to ``search_batch``."""
 
@@ -22,6 +28,7 @@ class Engine:
         self.spark, self.config, self.config_path = spark, config, config_path
         self.embed = embed or vector.hashing_embedder(config.embed_dims)
         self.store = Store(spark, config.db_path)
+        self._kept: OrderedDict = OrderedDict()
 
     def index(self) -> hybrid.Index | None:
         chunks = self.store.read("chunks")
@@ -34,6 +41,26 @@ class Engine:
         return hybrid.search(index, queries, self.config, embed=self.embed, **options)
 
     def _one(self, query: str, **options) -> list[dict]:
+        """Results for one query; the last 128 are kept while the store and the sources stay as they are."""
+        key = (query, repr(sorted(options.items())), self.store.state("chunks"), self.store.state("postings"), tuple(self.config.doc_sources))
+        if key not in self._kept:
+            self._kept[key] = self._search_one(query, **options)
+            while len(self._kept) > KEPT:
+                self._kept.popitem(last=False)
+        self._kept.move_to_end(key)
+        return [dict(r) for r in self._kept[key]]
+
+    def latencies(self, queries: list[str], **options) -> dict[str, float]:
+        """Seconds of single searches: the nearest-rank 50th and 95th percentile."""
+        took = []
+        for q in queries:
+            start = time.perf_counter()
+            self._search_one(q, **options)
+            took.append(time.perf_counter() - start)
+        took.sort()
+        return {f"p{p}": took[max(0, math.ceil(p / 100 * len(took)) - 1)] for p in (50, 95)} if took else {"p50": 0.0, "p95": 0.0}
+
+    def _search_one(self, query: str, **options) -> list[dict]:
         queries = self.spark.createDataFrame([(0, query)], "query_id long, query string")
         found = self.search_batch(queries, **options)
         return [] if found is None else self._shown(found.final)

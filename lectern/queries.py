@@ -233,13 +233,15 @@ def _(spark, sf_dir):
     return searched(spark, sf_dir).final.withColumn("score", F.round("score", 6))
 
 
-_API = "WITH " + PARTS + r""",
-typed AS (SELECT parts.*, CASE p_size % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'function' ELSE 'narrative' END AS type FROM parts JOIN part ON chunk_id = 'p' || p_partkey),
-f AS (SELECT collection, chunk_id, 'symbol' AS field, 10.0::DOUBLE AS weight, """ + WORDS.format("symbol_id") + r""" AS ws FROM parts UNION ALL SELECT collection, chunk_id, 'signature', 5.0, """ + WORDS.format("signature") + r""" FROM parts UNION ALL SELECT collection, chunk_id, 'remarks', 1.0, """ + WORDS.format("embed_text") + r""" FROM parts),
+#: postings of ``parts`` by field, to be followed by queries
+TYPED_PARTS = r""",
+f AS (SELECT collection, chunk_id, 'symbol' AS field, 10.0::DOUBLE AS weight, """ + WORDS.format("symbol_id") + r""" AS ws FROM parts UNION ALL SELECT collection, chunk_id, 'signature', 5.0, """ + WORDS.format("signature") + r""" FROM parts UNION ALL SELECT collection, chunk_id, 'remarks', 1.0, """ + WORDS.format("embed_text") + r""" FROM parts@@MORE@@),
 tf AS (SELECT collection, field, weight, chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT * EXCLUDE ws, len(ws) AS dl, unnest(ws) AS term FROM f) GROUP BY 1, 2, 3, 4, 5),
 size AS (SELECT collection, field, count(*) AS n, sum(len(ws)) / CAST(count(*) AS DOUBLE) AS avgdl FROM f GROUP BY 1, 2),
 raw AS (SELECT collection, field, term, n, avgdl, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN size USING (collection, field) GROUP BY 1, 2, 3, 4, 5),
-idf AS (SELECT *, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY collection, field) ELSE raw END AS idf FROM raw),
+idf AS (SELECT *, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY collection, field) ELSE raw END AS idf FROM raw)"""
+_API = "WITH " + PARTS + r""",
+typed AS (SELECT parts.*, CASE p_size % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'function' ELSE 'narrative' END AS type FROM parts JOIN part ON chunk_id = 'p' || p_partkey)""" + TYPED_PARTS.replace("@@MORE@@", "") + r""",
 sym AS (SELECT symbol_id, arg_min(type, collection || chr(1) || chunk_id) AS type FROM typed GROUP BY 1),
 asked AS (SELECT n_nationkey AS query_id, p_name || CASE WHEN n_nationkey % 3 = 2 THEN 's' ELSE '' END AS name FROM nation JOIN part ON p_partkey = n_nationkey + 1),
 named AS (SELECT asked.*, @@KNOWN@@ AS known FROM asked LEFT JOIN sym ON symbol_id = name),
@@ -644,4 +646,4 @@ def _(spark, sf_dir):
     return smart.doc_queries(n.select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("ask "), "n_name").alias("query")), matched).select("query_id", "query")
 
 
-from . import queries_parse  # noqa: E402, F401  (adds the parsers' queries)
+from . import queries_parse, queries_store  # noqa: E402, F401  (they add queries)

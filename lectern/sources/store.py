@@ -61,6 +61,10 @@ class Store:
         numbers = self._numbers(table)
         return (numbers[-1], self._manifest(table, numbers[-1])) if numbers else (0, None)
 
+    def state(self, table: str) -> int:
+        """A number that changes when the table does."""
+        return (self._numbers(table) or [0])[-1]
+
     def read(self, table: str) -> DataFrame | None:
         _, now = self._current(table)
         if now is None:

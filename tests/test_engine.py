@@ -29,6 +29,10 @@ def test_lookups(engine):
     assert engine.get_api_function("cut", "Mill")[0]["symbol_id"] == "Mill::cut" and engine.list_modules() == ["01", "root"] and engine.list_modules("none") == []
     with pytest.raises(KeyError):
         call(engine, "drop", {})
+    kept = len(engine._kept)
+    assert kept and engine.search_docs("Mill::cut", 3)[0]["symbol_id"] == "Mill::cut" and len(engine._kept) == kept
+    took = engine.latencies(["cut"])
+    assert 0 < took["p50"] == took["p95"] and engine.latencies([]) == {"p50": 0.0, "p95": 0.0}
 
 
 def test_context_status_and_smart(engine):
