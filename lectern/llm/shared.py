@@ -2,45 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from functools import lru_cache
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; in local mode, where it is unset, a temporary one."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        sc.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-@lru_cache(maxsize=8)
-def _run_folder(root: str) -> str:
-    """One folder for all tables of this process; it goes when the process ends in order, if its session is still there."""
-    path = f"{root}/lectern-{uuid.uuid4().hex}"
-
-    def drop() -> None:
-        spark = SparkSession.getActiveSession()
-        if spark is not None and spark.sparkContext._jsc is not None:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-    atexit.register(drop)
-    return path
-
-
-def run_folder(spark: SparkSession, name: str) -> str:
-    """A new folder among this process's tables."""
-    return f"{_run_folder(shared_dir(spark))}/{name}-{uuid.uuid4().hex}"
+from ..session import run_folder
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
