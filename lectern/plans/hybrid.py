@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import bm25, fusion, rewrite, vector
 from ..operators.evaluate import STAGES
+from ..session import settled
 
 
 @dataclass
@@ -82,6 +83,8 @@ def search(index: Index, queries: DataFrame, config: Config = Config(), top_k: i
         near = vector.knn(vectors, query_vectors, depth, config.metric)
     else:
         near = keyword.limit(0)
+    # a few rows a query, from which all later stages and the traces follow
+    keyword, near = settled(keyword, "keyword-hits"), settled(near, "vector-hits")
     fused = fusion.reciprocal_ranks(near, keyword, config.rrf_k, depth, config.rrf_bm25_weight)
     facts = index.chunks.select("chunk_id", "type", "contains_code")
     ranked = fused
@@ -90,6 +93,7 @@ def search(index: Index, queries: DataFrame, config: Config = Config(), top_k: i
         chosen = fusion.rerank_candidates(fused.join(decided, "query_id", "left_semi").join(facts.select("chunk_id", "type"), "chunk_id"), config.reranker_max_candidates)
         anew = fusion.rerank(chosen, queries, index.chunks, scorer)
         ranked = anew.select("query_id", "chunk_id", "score", "rank").unionByName(fused.join(decided, "query_id", "left_anti").select("query_id", "chunk_id", "score", "rank"))
+        ranked = settled(ranked, "reranked")
     boosted = fusion.code_boost(ranked.join(facts.select("chunk_id", "contains_code"), "chunk_id"), queries, list(config.code_boost_triggers), config.code_boost_ratio)
     expanded = fusion.expand_references(boosted, index.chunks, config.ref_expansion_max)
     final = fusion.module_filter(expanded, index.chunks, module).where(F.col("rank") <= k)

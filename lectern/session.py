@@ -9,7 +9,7 @@ import uuid
 from functools import lru_cache
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def share_code(spark: SparkSession) -> SparkSession:
@@ -62,6 +62,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{process_folder(shared_dir(spark))}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table, for what several later steps read: it is worked out once, and an executor that is lost later costs nothing."""
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
     spark = (
