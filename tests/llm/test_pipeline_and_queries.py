@@ -48,23 +48,6 @@ def test_queries_read_their_whole_table(spark, name):
         assert {r[key] for r in got} <= ids
 
 
-def test_pipeline_stages(spark, hard, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(hard.select("doc_id", "text", "lang", "source", "n_chars"))
-    rows = docs.count()
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, SF)
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        out.write.parquet(str(tmp_path / str(k)))
-        docs = spark.read.parquet(str(tmp_path / str(k)))
-        if k < 3:
-            assert 0 < docs.count() <= rows
-            rows = docs.count()
-    assert docs.count() > 0
-    again = spark.read.parquet(str(tmp_path / "3"))
-    assert {d for r in docs.collect() for d in r["doc_ids"]} == {r[0] for r in again.where("doc_id is not null and trim(text) <> ''").select("doc_id").collect()}
-
-
 def test_pipeline_over_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
