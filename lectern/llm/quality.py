@@ -29,18 +29,18 @@ TWICE = rf"regexp_count(text, '(?<![^{BLANK}])([^{BLANK}]++)(?=[{BLANK}]++\\1(?!
 
 #: name -> predicate over ``text`` that is true where the text is rejected.  Cheap necessary conditions stand first
 RULES = {
-    "symbols": r"length(text) - length(regexp_replace(text, '[#*&%$|~^<>{}=+\\\\]+', '')) > 0.05 * length(text)",
+    "symbols": r"length(regexp_replace(text, '[^#*&%$|~^<>{}=+\\\\]+', '')) > 0.05 * length(text)",
     "exclamations": "length(text) - length(replace(text, '!', '')) > 0.05 * length(text)",
     "capitals": "length(text) - length(regexp_replace(text, '[A-ZÀ-ÖØ-Þ]+', '')) > 0.4 * length(text)",
-    "digits": "length(text) - length(regexp_replace(text, '[0-9]+', '')) > 0.3 * length(text)",
+    "digits": "length(regexp_replace(text, '[^0-9]+', '')) > 0.3 * length(text)",
     "broken_characters": "length(text) - length(replace(text, '�', '')) > 0.01 * length(text)",
-    "word_length": f"length(text) - {GAPS} not between 1.5 * ({GAPS} + 1) and 25 * ({GAPS} + 1)",
+    "word_length": f"{GAPS} not between (length(text) - 25) / 26 and (length(text) - 1.5) / 2.5",  # 1.5 to 25 characters a word
     "ellipses": rf"(length(text) - length(replace(text, '...\n', ''))) / 4 + (length(text) - length(replace(text, '…\n', ''))) / 2 > 0.3 * ({BREAKS} + 1)",
     "bullets": rf"{BREAKS} > 0 and regexp_count(text, '\\n[ \\t]*[-*•]') > 0.9 * ({BREAKS} + 1)",
     "repeated_lines": f"{BREAKS} >= 3 and element_at(transform(array({LINES}), a -> size(a) >= 4 and size(array_distinct(a)) < 0.5 * size(a)), 1)",
     # vocabularies grow about as the square root of long texts, so beyond 1,000 words the limit does too
     "repeated_words": f"element_at(transform(array({WORDS}), a -> size(a) >= 20 and size(array_distinct(a)) < 0.3 * least(size(a), sqrt(1000 * size(a)))), 1)",
-    "adjacent_repeats": rf"{TWICE} > 1 and element_at(transform(array({WORDS}), a -> size(a) >= 5 and {TWICE} > 0.3 * size(a)), 1)",
+    "adjacent_repeats": f"element_at(transform(array({TWICE}), n -> n > 1 and size({WORDS}) >= 5 and n > 0.3 * size({WORDS})), 1)",
 }
 
 
