@@ -14,7 +14,7 @@ members of a cluster are sent there about once rather than once a pair.  A hub
 with many pairs or many bytes is split into blocks by the hashes of both ends.
 
 The join gives every pair.  ``drop_near_duplicates`` needs only which nodes
-hang together, so it compares each node with one centre of its band, joins
+hang together, so it compares each node with one centre of its bands, joins
 what is linked, takes other centres while that links much, and compares the
 rest only across what isn't linked yet: the groups are those of the join, and a
 cluster of n near copies costs about n comparisons.
@@ -283,8 +283,8 @@ def components(edges: DataFrame) -> DataFrame:
 def linked_nodes(nodes: DataFrame, check) -> DataFrame:
     """id, root: nodes that hang together by candidate pairs that pass ``check`` (distinct pairs a < b -> those that link).
 
-    Round by round, each band's nodes are compared with one centre, an other one in
-    each round, if they aren't linked to it yet.  Once a round links under a hundredth
+    Round by round, each node is compared with one centre among those of its bands,
+    an other one in each round, if it isn't linked to it yet.  Once a round links under a hundredth
     of what it compares, the rest is compared in full, but only across parts of a band
     that aren't linked: every node outside the band's largest part with every node
     that isn't linked to it.
@@ -292,7 +292,7 @@ def linked_nodes(nodes: DataFrame, check) -> DataFrame:
     band = _bands(nodes)
     crowded = band.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     open_ = cut(band.join(crowded, "band"), "bands")
-    stars = open_.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    stars = open_.where("node <> centre").groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b"))
     open_, roots, turn = open_.select("band", "node", F.col("node").alias("root")), None, 0
     while True:
         stars = cut(stars, "stars")
@@ -300,14 +300,16 @@ def linked_nodes(nodes: DataFrame, check) -> DataFrame:
         tested, new = stars.count(), links.count()
         if new or roots is None:
             roots = components(links if roots is None else links.unionByName(_as_edges(roots)))
-            marked = open_.select("band", "node").join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+            marked = open_.select("band", "node").join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")).repartition("band")
             mixed = marked.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
             open_ = cut(marked.join(mixed, "band", "left_semi"), "bands")
         if 100 * new <= tested:
             break
         turn += 1
-        pick = open_.groupBy("band").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("c"))
-        stars = open_.join(pick, "band").where("root <> c.root").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        order = F.xxhash64("node", F.lit(turn))
+        pick = open_.groupBy("band").agg(F.min(F.struct(order.alias("order"), F.col("node").alias("centre"), "root")).alias("c"))
+        stars = open_.join(pick, "band").where("root <> c.root").groupBy("node").agg(F.min(F.struct("c.order", "c.centre")).alias("c"))
+        stars = stars.select(F.least("node", "c.centre").alias("a"), F.greatest("node", "c.centre").alias("b")).distinct()
     parts = open_.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
     outside = open_.join(parts, "band").where("root <> most").select("band", F.col("node").alias("p"), F.col("root").alias("q"), "most")
     across = open_.join(outside, "band").where("root <> q and (root = most or node < p)").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
