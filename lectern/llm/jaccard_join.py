@@ -132,8 +132,19 @@ def _fixed(a: np.ndarray, width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(a).tobytes())])
 
 
+def _six(h: np.ndarray) -> bytes:
+    """48-bit hashes, six bytes each."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def gram_sets(texts: DataFrame, n: int) -> DataFrame:
-    """node, text -> node and grams, the sorted distinct gram hashes as bytes."""
+    """node, text -> node and grams, the sorted distinct gram hashes (48 bits, so that two of a pair's some hundred meet by chance once in 10**9 pairs) as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +153,8 @@ def gram_sets(texts: DataFrame, n: int) -> DataFrame:
                 data, off = tk.raw(texts.slice(i, j - i))
                 s, e, first = tk.words(data, off)
                 grams, at = tk.gram_hashes(tk.word_hashes(data, s, e), first, n)
-                sets = [np.unique(grams[at[r] : at[r + 1]]).tobytes() for r in range(j - i)]
+                short = grams >> np.uint64(16)
+                sets = [_six(np.unique(short[at[r] : at[r + 1]])) for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["node", "grams"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, grams binary")
@@ -161,7 +173,7 @@ def _verify(threshold: float, tolerance: float):
         docs, pairs = np.flatnonzero(~pair), np.flatnonzero(pair)
         kept = t.take(pa.array(docs))
         sig = np.frombuffer(b"".join(kept.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in kept.column("grams").to_pylist()]
+        sets = [_from_six(x) for x in kept.column("grams").to_pylist()]
         a, b = a_col[pairs], np.asarray(b_col.take(pa.array(pairs)).combine_chunks())
         ids, inv = np.unique(np.concatenate([a_col[docs], a, b]), return_inverse=True)
         code = g[docs].astype(np.int64) * len(ids) + inv[: len(docs)]
@@ -233,7 +245,7 @@ def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, thresh
         .select("a", "b", F.least("ha", "hb").alias("hub"))
     )
     placed = cut(placed, "placed")
-    sizes = nodes.select("node", (F.col("size") * 8 + 2 * HASHES + 64).alias("bytes"))
+    sizes = nodes.select("node", (F.col("size") * 6 + 2 * HASHES + 64).alias("bytes"))
     held = placed.select("hub", F.col("a").alias("node")).union(placed.select("hub", "b")).distinct().join(sizes, "node").groupBy("hub").agg(F.sum("bytes").alias("bytes"))
     ways = F.greatest(F.ceil(F.sqrt(F.col("n") / PAIRS_A_BLOCK)), F.ceil(2 * F.col("bytes") / BYTES_A_BLOCK))
     big = cut(placed.groupBy("hub").agg(F.count("*").alias("n")).join(held, "hub").select("hub", ways.alias("ways")).where("ways > 1"), "large-hubs")
@@ -300,7 +312,7 @@ def linked_nodes(nodes: DataFrame, check) -> DataFrame:
         tested, new = stars.count(), links.count()
         if new or roots is None:
             roots = components(links if roots is None else links.unionByName(_as_edges(roots)))
-            marked = open_.select("band", "node").join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+            marked = open_.select("band", "node").join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")).repartition("band")
             mixed = marked.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
             open_ = cut(marked.join(mixed, "band", "left_semi"), "bands")
         if 100 * new <= tested:
