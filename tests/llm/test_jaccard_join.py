@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -26,6 +27,28 @@ def brute(rows, threshold=0.5):
     return out
 
 
+def brute_classes(rows, threshold=0.5):
+    """(doc_id, class_id, links) of every id."""
+    pairs, ids = brute(rows, threshold), {r[0] for r in rows} - {None}
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    links = Counter(i for p in pairs for i in p)
+    return sorted((i, top(i), links[i]) for i in ids)
+
+
+def joined(df):
+    out = J.ngram_jaccard_join(df)
+    assert out.columns == ["doc_id", "class_id", "links"]
+    return sorted(tuple(r) for r in out.collect())
+
+
 def rows_with_copies():
     rows = [(i, words(i, 60 + i)) for i in range(30)]
     for i in range(10):
@@ -37,19 +60,67 @@ def rows_with_copies():
     return [(*r, "en", "s", 0, "k", "id", "row", 1) for r in rows]
 
 
-def test_pairs_are_those_of_brute_force(spark):
+def test_classes_and_links_are_those_of_brute_force(spark):
     rows = rows_with_copies()
-    got = {(r[0], r[1]): r[2] for r in J.ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == brute(rows)
+    assert joined(spark.createDataFrame(rows, SCHEMA)) == brute_classes(rows)
+
+
+def near_copies(n=400):
+    """n near copies of one text, each linked to all, in a class with a copy of a copy and a chain's end; boilerplate that isn't linked; a text of an id that only another row of that id would link."""
+    base, plate = words(5, 120).split(), words(6, 25)
+    rows = []
+    for i in range(n):
+        w = list(base)
+        w[i % 120] = f"other{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(900, rows[7][1]), (901, rows[7][1] + " " + words(8, 60))]
+    rows += [(2000 + i, f"{plate} {words(3000 + i, 40)}") for i in range(150)]
+    left, right = words(9, 60), words(10, 60)
+    rows += [(3000, left), (3001, right), (3002, words(11, 70)), (3002, f"{left} {right}")]
+    return [(*r, "en", "s", 0, "k", "id", "row", 1) for r in rows]
+
+
+def test_a_row_a_document_however_many_links(spark, monkeypatch):
+    """The rows don't grow with a cluster's pairs, nor do pairs that are checked; tiles lose nothing."""
+    rows, compared = near_copies(), []
+    checked = J._checked
+    monkeypatch.setattr(J, "_checked", lambda docs, nodes, pairs, *a: (compared.append(pairs.count()), checked(docs, nodes, pairs, *a))[1])
+    one = next(r for r in J.signatures(spark.createDataFrame([r for r in rows if r[0] == 3002], SCHEMA), 3, "doc_id", "text").orderBy("k").select("t").collect())[0]
+    of = spark.createDataFrame(rows, SCHEMA)
+    kept = {r[0] for r in of.selectExpr("text", "xxhash64(text) t").where(f"t = {one}").collect()}
+    want = brute_classes([r for r in rows if r[0] != 3002 or r[1] in kept])
+    assert joined(of) == want and max(r[2] for r in want) > 390
+    assert sum(compared) < 20 * len(rows)
+    for name, value in (("TILE", 60), ("SMALL", 4), ("NODES_A_TILE", 50), ("BYTES_A_TILE", 20_000)):
+        monkeypatch.setattr(J, name, value)
+    assert joined(of) == want
+
+
+def test_broken_ties_are_compared_in_full(spark, monkeypatch):
+    """Ties that the exact check breaks don't cost a link."""
+    monkeypatch.setattr(J, "SURE", 0.0011)
+    monkeypatch.setattr(J, "SMALL", 4)
+    rows = []
+    for c in range(3):
+        w = words(c, 90).split()
+        for step in range(40):
+            w[(7 * step) % 90] = f"new{c}x{step}"
+            rows.append((c * 100 + (17 * step) % 40, " ".join(w), "en", "s", 0, "k", "id", "row", 1))
+    assert joined(spark.createDataFrame(rows, SCHEMA)) == brute_classes(rows)
+
+
+def test_overlaps_are_those_of_sets():
+    rng = np.random.default_rng(1)
+    for m, k, v in ((1, 1, 3), (60, 50, 300), (300, 200, 5000)):
+        a, b = ([np.unique(rng.zipf(1.3, rng.integers(1, 60)).clip(0, v).astype(np.uint64)) for _ in range(x)] for x in (m, k))
+        assert (J._overlap(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
 
 
 def test_hard_rows(hard):
-    rows = J.ngram_jaccard_join(hard).collect()
-    got = {(r[0], r[1]): r[2] for r in rows}
-    assert len(got) == len(rows)
-    want = brute([r for r in hard_rows() if r[0] != 5])
-    assert {p: j for p, j in got.items() if 5 not in p} == want
-    assert (4, 100) in got and (4, 101) in got
+    got = joined(hard)
+    want = brute_classes([r for r in hard_rows() if r[0] != 5])
+    assert [r for r in got if r[0] != 5] == want
+    assert dict((r[0], r[1:]) for r in got)[100] == (4, 2) and len(got) == len({r[0] for r in hard_rows()} - {None})
 
 
 def test_empty(empty):
@@ -139,8 +210,7 @@ def test_blocks_are_bounded_by_bytes_and_pairs(spark, monkeypatch):
     monkeypatch.setattr(J, "PAIRS_A_BLOCK", 50)
     monkeypatch.setattr(J, "BYTES_A_BLOCK", 20_000)
     rows = rows_with_copies() + [(1000 + i, words(3, 63) + f" x{i}", "en", "s", 0, "k", "id", "row", 1) for i in range(40)]
-    got = {(r[0], r[1]): r[2] for r in J.ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == brute(rows)
+    assert joined(spark.createDataFrame(rows, SCHEMA)) == brute_classes(rows)
 
 
 def test_pruning_keeps_what_the_posterior_allows():
