@@ -21,6 +21,10 @@ partner, and a pair is handled where the smaller of its two hubs is, so the
 members of a cluster are sent there about once rather than once a pair.  A hub
 with many pairs or many bytes is split into blocks by the hashes of both ends.
 
+Texts are shuffled only where they are needed: a bitmap of the keys that a join
+looks for is tested first, where the texts are read.  What passes it by chance is
+shuffled too, so that the joins stay exact.
+
 The join gives a row a document: its class and its number of links.  As links
 lie within classes, they are counted there, over all pairs of the class's nodes
 and on their exact sets, in tiles; no pair is written.  ``drop_near_duplicates``
@@ -37,7 +41,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from math import comb
 
@@ -59,6 +63,8 @@ SMALL = 32  # buckets up to this size are compared in full
 SURE = 0.9999  # posterior at which a node is tied to a leader before the exact check
 NODES_A_TILE = 2000  # of a class
 BYTES_A_TILE = 16_000_000
+BITS_A_KEY = 32  # of a bitmap of keys: one in 32 other keys passes
+MOST_BITS = 1 << 27  # 16 MB; more keys than 4 million let more others pass
 
 
 @lru_cache(maxsize=1)
@@ -339,10 +345,29 @@ def _near(buckets: DataFrame, nodes: DataFrame, threshold: float, tolerance: flo
     return cut(pairs.groupBy("a", "b").agg(F.max("tie").alias("tie")), "near")
 
 
+def _among(keys: DataFrame) -> Callable[[Column, Column], Column]:
+    """A test of id and t that all of ``keys`` (id, t; read more than once) pass, and few others: a bit for each hash, in parts of 32,768."""
+    bits = min(MOST_BITS, 1 << (keys.count() * BITS_A_KEY).bit_length())
+    place = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(bits))
+    at = keys.select(place(F.col("id"), F.col("t")).alias("at")).select(F.shiftright("at", 15).alias("part"), F.col("at").bitwiseAND(32767).alias("bit"))
+    whole = np.zeros((-(-bits // 32768), 4096), dtype=np.uint8)
+    for part, some in at.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit")).collect():
+        whole[part] = np.frombuffer(some, dtype=np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(whole.ravel())
+
+    @F.arrow_udf("boolean")
+    def has(at: pa.Array) -> pa.Array:
+        x = np.asarray(at)
+        return pa.array((shared.value[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda i, t: has(place(i, t))
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """node and grams of the ``wanted`` nodes."""
-    rows = nodes.join(wanted.select("node"), "node", "left_semi").select("id", "t", "node")
-    texts = _rows(docs, id_col, text_col).join(rows, ["id", "t"])
+    rows = cut(nodes.join(wanted.select("node"), "node", "left_semi").select("id", "t", "node"), "wanted")
+    few = _rows(docs, id_col, text_col).where(_among(rows)(F.col("id"), F.col("t"))).repartition("id", "t")  # else a task has two Python workers where rows are broadcast
+    texts = few.join(rows, ["id", "t"])
     return gram_sets(texts, n).groupBy("node").agg(F.first("grams").alias("grams"))
 
 
@@ -509,13 +534,17 @@ def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, to
     group = nodes.select("k", "node").join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("k", F.coalesce("root", "node").alias("root"))
     rows = cut(table.groupBy("id", "t").agg(F.first("k").alias("k"), F.count("*").alias("copies")).join(group, "k").select("id", "t", "root", "copies"), "grouped")
     first = rows.groupBy("root").agg(F.min(F.struct("id", "t")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = cut(rows.join(first, "root").where("id <> first.id or t <> first.t").select(F.col("id").alias("__lectern_id"), F.col("t").alias("__lectern_t")), "dropped")
-    own = lambda df: (F.col(f"`{id_col}`").cast("long") == df["__lectern_id"]) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == df["__lectern_t"])
-    kept = docs.join(gone, own(gone), "left_anti")
-    again = rows.where("copies > 1").select(F.col("id").alias("__lectern_id"), F.col("t").alias("__lectern_t"))
+    key = lambda df: df.select(F.col("id").alias("__lectern_id"), F.col("t").alias("__lectern_t"))
+    gone = cut(key(rows.join(first, "root").where("id <> first.id or t <> first.t")), "dropped")
+    again = key(rows.where("copies > 1"))
+    own_id, own_t = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    own = lambda df: (own_id == df["__lectern_id"]) & (own_t == df["__lectern_t"])
+    touched = _among(gone.union(again).toDF("id", "t"))(own_id, own_t)
+    rest = docs.where(~touched)
+    kept = docs.where(touched).join(gone, own(gone), "left_anti")
     if again.isEmpty():
-        return kept
+        return rest.union(kept)
     twice = kept.join(again, own(again), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     order = Window.partitionBy(F.col(f"row.`{id_col}`"), F.xxhash64(F.col(f"row.`{text_col}`").cast("string"))).orderBy(F.to_json("row"))
     once = twice.withColumn("place", F.row_number().over(order)).where("place = 1").select("row.*")
-    return kept.join(again, own(again), "left_anti").unionByName(once)
+    return rest.union(kept.join(again, own(again), "left_anti")).union(once)

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lectern.llm import jaccard_join as J
 from tests.llm.conftest import SCHEMA, hard_rows, words
@@ -174,6 +175,51 @@ def test_one_of_each_group_stays(spark):
     assert_kept(spark, hard_rows())
 
 
+def shuffled(spark, action):
+    """The action's result, and the bytes it shuffles."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (found.apply(k) for k in range(found.size()))}
+
+    before = stages()
+    out = action()
+    return out, sum(v for k, v in stages().items() if k not in before)
+
+
+def test_texts_that_have_no_copies_stay_where_they_are(spark):
+    """Also where no side of a join is small enough to be broadcast."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 2500))) for i in range(300)]
+    rows += [(900 + i, rows[i][1] + " tail") for i in range(5)] + [rows[9]]
+    df = spark.createDataFrame([(*r, "en", "s", 0, "k", "id", "row", 1) for r in rows], SCHEMA).repartition(3).cache()
+    df.count()
+    limit, name = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(name, "-1")
+    try:
+        kept, moved = shuffled(spark, lambda: sorted(r[0] for r in J.drop_near_duplicates(df).collect()))
+    finally:
+        spark.conf.set(name, limit)
+        df.unpersist()
+    assert kept == list(range(300))
+    assert moved < 0.5 * sum(len(r[1]) for r in rows)
+
+
+def test_bitmap_of_keys(spark, monkeypatch):
+    """All keys pass, few others; one that is full lets all pass and costs no row."""
+    keys = spark.range(20_000).selectExpr("id", "7 - id t").localCheckpoint()
+    others = spark.range(20_000, 60_000).selectExpr("id", "7 - id t")
+    passed = lambda df: df.where(J._among(keys)(F.col("id"), F.col("t"))).count()
+    assert passed(keys) == 20_000 and 0 < passed(others) < 2000
+    assert keys.where(J._among(keys.limit(0))(F.col("id"), F.col("t"))).isEmpty()
+    monkeypatch.setattr(J, "MOST_BITS", 8)
+    assert passed(keys) == 20_000 and passed(others) == 40_000
+    assert_kept(spark, hard_rows())
+    assert joined(spark.createDataFrame(rows_with_copies(), SCHEMA)) == brute_classes(rows_with_copies())
+
+
 def test_chains_and_mixed_bands(spark):
     """Copies of copies, which hang together only by steps, beside clusters about as near as the threshold."""
     rows, k = [], 0
