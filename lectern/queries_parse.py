@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .queries import query, table
+from .queries import query, spread, table
 from .sources import registry
 from .sources.headers import parse_header_lines
 
@@ -72,7 +72,7 @@ PART = "SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_size AS size
     ),
 )
 def _(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     owner, func, name, size = join("C", F.col("p_partkey")), join("make", F.col("p_size")), F.col("p_name"), F.col("p_size")
     see = F.when(size % 2 == 0, join('<dl class="section see"><dt>See also</dt><dd><a href="a.html">', F.col("p_brand"), '</a>, <a href="b.html">stop</a> <a href="c.html"> </a></dd></dl>')).otherwise("")
     one = join(
@@ -119,7 +119,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     owner, size = join("C", F.col("p_partkey")), F.col("p_size")
     box = lambda *inner: join('<table style="width:100%; table-layout: fixed"><tr><td>', *inner, "</td></tr></table>")
     call = box("<a href='x'>before</a><h3>make", size, "(int n)</h3><p>About ", F.col("p_name"), '.</p><p></p><p>And more.</p><table style="border:0"><tr><td>n:</td><td>count ', size, "</td></tr><tr><td>m</td><td> </td><td>mode</td></tr></table><p>Returns A Status.</p><a href='y'>", F.col("p_brand"), "</a><a href='y'>", F.col("p_brand"), "</a>")
@@ -149,7 +149,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     owner, size, func = join("C", F.col("p_partkey")), F.col("p_size"), join("make", F.col("p_size"))
     title = F.when(size % 3 == 0, join('Data type: "', owner, '"')).when(size % 3 == 1, join("Function: ", owner, "::", func)).otherwise(join('Shader (phong): "', func, '" of it'))
     label = lambda name: f"</TD></TR><TR><TD><B>{name}</B></TD><TD>"
@@ -203,7 +203,7 @@ def _header(k: Column, s: Column, n: Column) -> Column:
     ),
 )
 def _(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     return parsed(spark, p.select(F.col("p_partkey").alias("id"), _header(F.col("p_partkey"), F.col("p_size"), F.col("p_name")).alias("content")), "header")
 
 
@@ -219,7 +219,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     k, size = F.col("p_partkey"), F.col("p_size")
     blank = F.repeat(F.lit("\n"), (size % 12).cast("int"))
     text = join("/*\n * About ", F.col("p_name"), "\n * in two lines.\n */\n\nclass LIB_API C", k, " {\n  // Near.\n  virtual int make", size, "(const std::map<int, int>& m, int n) const = 0;\n  // return x(1);\n  return x(1);\n  // Far.\n", blank, "  enum Kind { A };\n#define MAX_", k, " ", size, "\ntypedef unsigned long id_", k, ";\nclass Later;\n")
