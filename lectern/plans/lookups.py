@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..operators import bm25
+from ..session import settled
 from .hybrid import Index, search
 
 
@@ -22,6 +26,13 @@ def _by_source(index: Index, known: DataFrame, config: Config, top_k: int, embed
     return out
 
 
+def _asked(index: Index, known: DataFrame, other: DataFrame) -> tuple[Index, DataFrame, DataFrame]:
+    """Known and other names (query_id, query) as written tables, whose sizes Spark knows, and the index with the postings that both need."""
+    both = settled(known.unionByName(other, allowMissingColumns=True), "names")
+    index = replace(index, postings=bm25.postings_for(index.postings, both))
+    return index, both.where("source_label is not null"), both.where("source_label is null").drop("source_label")
+
+
 def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
 
@@ -35,12 +46,14 @@ def api_classes(index: Index, symbols: DataFrame, names: DataFrame, config: Conf
     classes = symbols.where("type = 'class'").select(F.col("symbol_id").alias("class_name"), "source_label")
     known = names.join(classes, "class_name").select("query_id", F.col("class_name").alias("query"), "source_label")
     other = names.join(classes, "class_name", "left_anti").select("query_id", F.concat(F.lit("class "), "class_name").alias("query"))
+    index, known, other = _asked(index, known, other)
     rest = _found(index, other, config, 15, None, embed).where("rank <= 10")
     hits = _by_source(index, known, config, 20, embed)
     if hits is None:
         return rest
-    members = index.chunks.where("type <> 'narrative'").select("chunk_id", "class_name")
-    own = _ranked(hits.join(names.select("query_id", "class_name"), "query_id").join(members, ["chunk_id", "class_name"], "left_semi").drop("class_name"))
+    hits = settled(hits.join(names.select("query_id", "class_name"), "query_id"), "class-hits")
+    members = index.chunks.where("type <> 'narrative'").join(hits, ["chunk_id", "class_name"], "left_semi").select("chunk_id", "class_name")  # the few that were found, not all
+    own = _ranked(hits.join(members, ["chunk_id", "class_name"], "left_semi").drop("class_name"))
     return own.select("query_id", "chunk_id", "score", "rank").unionByName(rest)
 
 
@@ -55,6 +68,7 @@ def api_functions(index: Index, symbols: DataFrame, names: DataFrame, config: Co
     first = tries.join(symbols.select("symbol_id", "source_label"), "symbol_id").groupBy("query_id").agg(F.min_by(F.struct("symbol_id", "source_label"), "nth").alias("s"))
     known = first.select("query_id", F.col("s.symbol_id").alias("query"), F.col("s.source_label").alias("source_label"))
     other = names.join(first, "query_id", "left_anti").select("query_id", F.coalesce(full, "function_name").alias("query"))
+    index, known, other = _asked(index, known, other)
     rest = _found(index, other, config, 10, None, embed)
     hits = _by_source(index, known, config, 5, embed)
     return rest if hits is None else hits.unionByName(rest)
